@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SHIPPING_CANCELED
-from .statistics import pearson
+from .statistics import pair_correlations
 
 # Order-time features of the two model variants.
 NUMERIC = {
@@ -95,9 +95,12 @@ def ml_leakage_guard(columns: Sequence[str], variant: str = "A") -> list[str]:
 
 def ml_leakage_report(fact: DataFrame, columns: Sequence[str], target: str, variant: str = "A") -> DataFrame:
     """Correlation of each numeric column with the target, and whether the guard rejects it."""
-    row = fact.agg(*[F.round(pearson(c, target), 4).alias(c) for c in columns])
-    cells = ", ".join(f"'{c}', {'true' if c in LEAKY[variant] else 'false'}, `{c}`" for c in columns)
-    return row.select(F.expr(f"stack({len(columns)}, {cells}) AS (feature, rejected, r_with_target)"))
+    features = F.array(
+        *[F.struct(F.lit(c).alias("feature"), F.lit(c in LEAKY[variant]).alias("rejected")) for c in columns]
+    )
+    return pair_correlations(fact, [(c, target) for c in columns]).select(
+        features.getItem(F.col("pair")).alias("f"), F.round("r", 4).alias("r_with_target")
+    ).select("f.feature", "f.rejected", "r_with_target")
 
 
 def ml_feature_table(fact: DataFrame, variant: str = "A", keep: Sequence[str] = ()) -> DataFrame:

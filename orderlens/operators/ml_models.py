@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, scratch_path
 from .ml_data import CATEGORICAL, NUMERIC
 
 LOGISTIC_REGRESSION = "logistic_regression"
@@ -68,6 +68,31 @@ def classifier(name: str, n_rows: int, seed: int = 42, **overrides) -> Estimator
     raise ValueError(f"unknown model {name}")
 
 
+def _spread(vectors: DataFrame) -> DataFrame:
+    """Persisted rows over every core; only input with fewer partitions than cores moves.
+
+    Large input has far more partitions than cores and is left where it is.
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    if vectors.rdd.getNumPartitions() >= cores:
+        return vectors
+    wider = vectors.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    wider.count()
+    vectors.unpersist()
+    return wider
+
+
+def _stored(model: PipelineModel, name: str) -> PipelineModel:
+    """The model after a round trip through the shared folder.
+
+    A freshly fitted model still refers to its training data through its summary, and
+    would carry that reference into every scoring task.
+    """
+    path = scratch_path(SparkSession.active(), f"model_{name}")
+    save_model(model, path)
+    return load_model(path)
+
+
 def fit_model(train: DataFrame, name: str, variant: str = "A", seed: int = 42, **overrides) -> PipelineModel:
     """Preprocessing and classifier fitted on rows of ``ml_feature_table``."""
     return fit_models(train, [name], variant, seed, {name: overrides})[name]
@@ -86,10 +111,11 @@ def fit_models(
     vectors = prepared.transform(train).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_rows = vectors.count()
+        vectors = _spread(vectors)
         fitted = {}
         for name in names:
             model = classifier(name, n_rows, seed, **(overrides or {}).get(name, {})).fit(vectors)
-            fitted[name] = PipelineModel(stages=[*prepared.stages, model])
+            fitted[name] = _stored(PipelineModel(stages=[*prepared.stages, model]), name)
         return fitted
     finally:
         vectors.unpersist()

@@ -60,7 +60,11 @@ def fill_calendar(series: DataFrame, step: str) -> DataFrame:
 
 def monthly_series(fact: DataFrame, key: str | None = None) -> DataFrame:
     """Units per month as a gapless series."""
-    monthly = ts_monthly_demand(fact, key).select("series_key", "period", F.col("quantity").cast("double").alias("y"))
+    monthly = (
+        fact.filter(F.col("order_date").isNotNull())
+        .groupBy(_key(key), F.trunc("order_date", "MM").alias("period"))
+        .agg(F.sum("order_item_quantity").cast("double").alias("y"))
+    )
     return fill_calendar(monthly, "1 month")
 
 

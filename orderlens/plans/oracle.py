@@ -961,4 +961,30 @@ def oracle_sql() -> dict[str, str]:
         CONFUSION,
         AUC,
     )
+    def counted(label: str, texts: dict[str, str]) -> str:
+        return " UNION ALL ".join(
+            f"SELECT '{name}' AS {label}, count(*) AS n_rows FROM ({sql})" for name, sql in texts.items()
+        )
+
+    q["write_query_results"] = counted("query", {k: v for k, v in q.items() if k[:1] == "q" and k[1:3].isdigit()})
+    q["export_star_schema"] = counted(
+        "table_name",
+        {
+            "fact_orders": on_fact("SELECT * FROM orders_fact"),
+            "dim_product": q["dim_product"],
+            "dim_customer": q["dim_customer"],
+            "monthly_kpi": q["monthly_kpi"],
+            "inventory": q["inventory_profile"],
+            "supplier": q["supplier_scorecard_ranked"],
+            "forecast": q["ts_moving_average_forecast"],
+            "model_comparison": q["ml_metrics"],
+        },
+    )
+    categories = "shipping_mode order_region market category_name department_name customer_segment type order_dow".split()
+    slots = " + ".join(f"count(DISTINCT {c}) FILTER (WHERE bucket >= 20)" for c in categories)
+    q["ml_preprocess"] = on_fact(
+        f"""SELECT CAST(5 + {slots} AS INTEGER) AS n_features, CAST(5 + {len(categories)} AS INTEGER) AS n_nonzero,
+        count(*) FILTER (WHERE bucket < 20) AS n FROM bucketed""",
+        BUCKETED,
+    )
     return q

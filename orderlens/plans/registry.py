@@ -91,7 +91,7 @@ def read_csv_raw(star: Star) -> DataFrame:
         ]
     )
     path = scratch_path(star.spark, "raw_csv")
-    shaped.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    files.write_csv(shaped, path, encoding="ISO-8859-1")
     return files.read_csv_raw(star.spark, path).select(
         "order_id", "product_card_id", "order_date", "order_region", "sales", "customer_zipcode", "customer_fname"
     )

@@ -51,10 +51,14 @@ def read_parquet_clean(spark: SparkSession, path: str, columns: Sequence[str] |
     return df.select(*columns) if columns else df
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
+    """CSV with header; blanks at the ends of text are kept as they are."""
     (
         df.write.mode("overwrite")
         .option("header", True)
+        .option("encoding", encoding)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampFormat", TIMESTAMP_FORMAT)
         .option("timestampNTZFormat", TIMESTAMP_FORMAT)
         .csv(path)
