@@ -1,21 +1,16 @@
 """Exact quantiles and running sums over values too many for one task.
 
 Spark's ``percentile`` keeps every distinct value of a group in one aggregation buffer,
-and a window without a partition key sorts everything in one task. Both are fine for
-small domains (days, units per line) and are used there. For money, ratios and scores the
-work is spread instead:
-
-1. count rows per distinct value (a shuffle with map-side combining, so a value that
-   holds a third of all rows is one counter per task);
-2. place each distinct value in one of ``BUCKETS`` intervals by a fixed non-decreasing
-   function of the value. Intervals are even on a signed-log scale, so a few extreme
-   values do not push all others into one interval;
-3. add up the intervals (at most ``BUCKETS`` rows per group) to learn how many rows lie
-   before each;
-4. finish inside the intervals, in parallel, one interval per window partition. For
-   quantiles only the intervals that hold a wanted rank are kept.
-
-The interval function affects only how work is divided, never the result.
+and a window without a partition key sorts everything in one task. Here the work is spread
+by a fixed, non-decreasing function that assigns each value to an interval, about 0.07 %
+wide relative to the value. The intervals only divide the work and never change a result.
+
+* ``column_quantiles`` counts rows per interval (a few ten thousand counters, combined on
+  the map side), finds the intervals that hold a wanted rank, and reads the input once more
+  for the values in just those. The data itself is never shuffled.
+* ``running_sums`` and ``quantiles_of_counts`` start from one row per distinct value. A
+  value that holds a third of all rows is one such row. Interval totals are added up first,
+  then every interval is finished in parallel as a window partition of its own.
 """
 
 from __future__ import annotations
@@ -25,28 +20,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+# Intervals per doubling of one plus the absolute value.
+RESOLUTION = 1024
 
 
-def _scaled(value: Column) -> Column:
+def interval(value: Column) -> Column:
+    """Interval number of a value; non-decreasing in the value."""
     value = value.cast("double")
-    return F.signum(value) * F.log1p(F.abs(value))
-
-
-def _with_bucket(counted: DataFrame, value: str, by: Sequence[str], buckets: int) -> DataFrame:
-    bounds = [F.min(_scaled(F.col(value))).alias("_lo"), F.max(_scaled(F.col(value))).alias("_hi")]
-    if by:
-        limits = counted.groupBy(*by).agg(*bounds)
-        placed = counted.join(limits, list(by), "inner")
-        lo, hi = F.col("_lo"), F.col("_hi")
-    else:
-        limit = counted.agg(F.struct(*bounds)).scalar()
-        placed = counted.select("*", limit["_lo"].alias("_lo"), limit["_hi"].alias("_hi"))
-        lo, hi = F.col("_lo"), F.col("_hi")
-    position = F.floor(F.try_divide(_scaled(F.col(value)) - lo, hi - lo) * buckets)
-    return placed.withColumn(
-        "_bucket", F.coalesce(F.least(position, F.lit(buckets - 1)), F.lit(0)).cast("int")
-    ).drop("_lo", "_hi")
+    return (F.signum(value) * F.floor(F.log2(1 + F.abs(value)) * RESOLUTION)).cast("bigint")
 
 
 def _before(column: str, keys: Sequence[str], order: Column) -> Column:
@@ -65,14 +46,13 @@ def running_sums(
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Add ``<s>_before`` per ``s`` in ``sums``: its total over rows ordered before.
 
     ``grouped`` has one row per ``(by..., value)`` and no null values. Ascending means
     over smaller values, descending over greater ones.
     """
-    placed = _with_bucket(grouped, value, by, buckets)
+    placed = grouped.withColumn("_bucket", interval(F.col(value)))
     totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
     rank = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     offsets = totals.select(*by, "_bucket", *[_before(s, by, rank).alias(f"_off_{s}") for s in sums])
@@ -84,20 +64,20 @@ def running_sums(
     )
 
 
-def quantiles_of_counts(
-    counted: DataFrame,
-    value: str,
-    probabilities: Sequence[float],
-    by: Sequence[str] = (),
-    buckets: int = BUCKETS,
-) -> DataFrame:
-    """Linearly interpolated quantiles from ``value_counts`` output.
+def _covers(start: Column, size: Column, rank: Column) -> Column:
+    return (start <= rank) & (rank < start + size)
 
-    Returns ``by...``, ``n`` (rows), and ``quantiles`` (array of DOUBLE in the order of
-    ``probabilities``).
+
+def _positions(probabilities: Sequence[float]) -> list[Column]:
+    """Fractional zero-based rank of each probability among ``_rows`` rows."""
+    return [(F.col("_rows") - 1) * F.lit(float(p)) for p in probabilities]
+
+
+def _wanted_intervals(totals: DataFrame, probabilities: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """``(by..., _bucket, _off, _rows)`` of the intervals that hold a wanted rank.
+
+    ``totals`` is ``(by..., _bucket, n)``. At most two intervals per group and probability.
     """
-    placed = _with_bucket(counted, value, by, buckets)
-    totals = placed.groupBy(*by, "_bucket").agg(F.sum("n").alias("n"))
     offsets = totals.select(
         *by,
         "_bucket",
@@ -105,26 +85,23 @@ def quantiles_of_counts(
         _before("n", by, F.col("_bucket").asc()).alias("_off"),
         F.sum("n").over(Window.partitionBy(*by)).alias("_rows"),
     )
-    positions = [(F.col("_rows") - 1) * F.lit(float(p)) for p in probabilities]
-
-    def covers(start: Column, size: Column, rank: Column) -> Column:
-        return (start <= rank) & (rank < start + size)
+    hit = F.lit(False)
+    for position in _positions(probabilities):
+        for rank in (F.floor(position), F.ceil(position)):
+            hit = hit | _covers(F.col("_off"), F.col("_size"), rank)
+    return offsets.filter(hit).drop("_size")
 
-    def wanted(start: Column, size: Column) -> Column:
-        hit = F.lit(False)
-        for position in positions:
-            hit = hit | covers(start, size, F.floor(position)) | covers(start, size, F.ceil(position))
-        return hit
 
+def _interpolate(
+    counted: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str]
+) -> DataFrame:
+    """Quantiles from ``(by..., _bucket, value, n, _off, _rows)`` rows of the wanted intervals."""
     keys = [*by, "_bucket"]
-    hits = offsets.filter(wanted(F.col("_off"), F.col("_size"))).drop("_size")
-    ranked = placed.join(hits, keys, "inner").withColumn(
-        "_start", F.col("_off") + _before("n", keys, F.col(value).asc())
-    )
-    picked = []
+    ranked = counted.withColumn("_start", F.col("_off") + _before("n", keys, F.col(value).asc()))
+    positions, picked = _positions(probabilities), []
     for i, position in enumerate(positions):
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            at_rank = covers(F.col("_start"), F.col("n"), rank)
+            at_rank = _covers(F.col("_start"), F.col("n"), rank)
             picked.append(F.max(F.when(at_rank, F.col(value).cast("double"))).alias(f"_{side}{i}"))
     found = ranked.groupBy(*by).agg(F.max("_rows").alias("_rows"), *picked)
     values = [
@@ -134,18 +111,47 @@ def quantiles_of_counts(
     return found.select(*by, F.col("_rows").alias("n"), F.array(*values).alias("quantiles"))
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()
+def quantiles_of_counts(
+    counted: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str] = ()
 ) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, value, by), value, probabilities, by)
+    """Linearly interpolated quantiles from ``value_counts`` output.
+
+    Returns ``by...``, ``n`` (rows), and ``quantiles`` (array of DOUBLE in the order of
+    ``probabilities``).
+    """
+    placed = counted.withColumn("_bucket", interval(F.col(value)))
+    totals = placed.groupBy(*by, "_bucket").agg(F.sum("n").alias("n"))
+    hits = _wanted_intervals(totals, probabilities, by)
+    return _interpolate(placed.join(hits, [*by, "_bucket"]), value, probabilities, by)
 
 
-def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """``(keep..., column_name, value)``: the columns under one another, as DOUBLE."""
+def long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, value)``: the non-null values of the columns under one another, as DOUBLE."""
     pairs = ", ".join(f"'{c}', CAST({c} AS DOUBLE)" for c in columns)
-    return df.select(*keep, F.expr(f"stack({len(columns)}, {pairs}) AS (column_name, value)"))
+    stacked = df.select(F.expr(f"stack({len(columns)}, {pairs}) AS (column_name, value)"))
+    return stacked.filter(F.col("value").isNotNull())
 
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """Quantiles of several columns from one scan: ``column_name, n, quantiles``."""
-    return exact_quantiles(long_values(df, columns), "value", probabilities, ["column_name"])
+    """Quantiles of several columns together: ``column_name, n, quantiles``.
+
+    The broadcast side has at most two rows per column and probability.
+    """
+    by = ["column_name"]
+    placed = long_values(df, columns).withColumn("_bucket", interval(F.col("value")))
+    totals = placed.groupBy(*by, "_bucket").agg(F.count("*").alias("n"))
+    hits = _wanted_intervals(totals, probabilities, by)
+    counted = (
+        placed.join(F.broadcast(hits), [*by, "_bucket"])
+        .groupBy(*by, "_bucket", "value", "_off", "_rows")
+        .agg(F.count("*").alias("n"))
+    )
+    return _interpolate(counted, "value", probabilities, by)
+
+
+def quantile_row(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> Column:
+    """The quantiles of each column as a scalar struct of arrays, one field per column."""
+    found = column_quantiles(df, columns, probabilities)
+    return found.agg(
+        F.struct(*[F.max(F.when(F.col("column_name") == c, F.col("quantiles"))).alias(c) for c in columns])
+    ).scalar()

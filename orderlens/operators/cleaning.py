@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import column_quantiles
+from ..functions.ordered import quantile_row
 from ..schema import (
     CANCELLED_STATUSES,
     DROPPED_COLUMNS,
@@ -79,24 +79,15 @@ def flag_cancelled(df: DataFrame) -> DataFrame:
 def flag_iqr_outliers(df: DataFrame, columns: Sequence[str] = OUTLIER_COLUMNS_A) -> DataFrame:
     """``outlier_<column>``: outside the quartiles by more than 1.5 interquartile ranges.
 
-    The quartiles of all columns come from one scan, reduced to one row; the rows
+    The quartiles of all columns are found together and reduced to one row; the rows
     themselves are only projected, not shuffled.
     """
-    q1, q3 = F.col("quantiles").getItem(0), F.col("quantiles").getItem(1)
-    fences = column_quantiles(df, columns, (0.25, 0.75)).select(
-        "column_name",
-        F.struct(
-            (q1 - IQR_FENCE * (q3 - q1)).alias("lo"),
-            (q3 + IQR_FENCE * (q3 - q1)).alias("hi"),
-        ).alias("fence"),
-    )
-    one_row = fences.agg(
-        F.struct(*[F.max(F.when(F.col("column_name") == c, F.col("fence"))).alias(c) for c in columns])
-    ).scalar()
+    quartiles = quantile_row(df, columns, (0.25, 0.75))
 
     def outside(c: str) -> Column:
-        value = F.col(c).cast("double")
-        return F.coalesce((value < one_row[c]["lo"]) | (value > one_row[c]["hi"]), F.lit(False))
+        value, q1, q3 = F.col(c).cast("double"), quartiles[c].getItem(0), quartiles[c].getItem(1)
+        reach = IQR_FENCE * (q3 - q1)
+        return F.coalesce((value < q1 - reach) | (value > q3 + reach), F.lit(False))
 
     return df.withColumns({f"outlier_{c}": outside(c) for c in columns})
 

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_when, money, pct, year_month
-from ..functions.ordered import exact_quantiles, value_counts, quantiles_of_counts
+from ..functions.ordered import quantile_row, quantiles_of_counts, value_counts
 from ..schema import IQR_FENCE
 
+_QUARTILES = (0.25, 0.5, 0.75)
+
 
 def sales_by(fact: DataFrame, column: str, n: int | None = None) -> DataFrame:
     """Sales per group, highest first; with ``n`` the top groups only."""
@@ -112,32 +114,24 @@ def histogram(fact: DataFrame, column: str, bins: int) -> DataFrame:
 def boxplot(fact: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """Five-number summary, whiskers at the last value inside 1.5 IQR, and outlier count.
 
-    Everything after the first shuffle works on distinct values with their counts.
+    With ``by`` everything after the first shuffle works on distinct values with counts.
     """
     group = [by] if by else []
-    counted = value_counts(fact.select(*group, F.col(column).cast("double").alias("_v")), "_v", group)
-    box = quantiles_of_counts(counted, "_v", (0.25, 0.5, 0.75), group)
-    q1, q2, q3 = (F.col("quantiles").getItem(i) for i in range(3))
-    iqr = q3 - q1
-    fences = box.select(
-        *group,
-        q1.alias("q1"),
-        q2.alias("median"),
-        q3.alias("q3"),
-        (q1 - IQR_FENCE * iqr).alias("_lo"),
-        (q3 + IQR_FENCE * iqr).alias("_hi"),
-    )
+    value = fact.select(*group, F.col(column).cast("double").alias("_v"))
     if by:
-        marked = counted.join(fences, by)
+        rows = value_counts(value, "_v", group)
+        rows = rows.join(quantiles_of_counts(rows, "_v", _QUARTILES, group).drop("n"), by)
     else:
-        one = fences.select(F.struct("*").alias("b")).scalar()
-        marked = counted.select("*", one.alias("_box")).select("*", "_box.*").drop("_box")
-    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    return marked.groupBy(*group).agg(
+        rows = value.withColumns({"quantiles": quantile_row(value, ["_v"], _QUARTILES)["_v"], "n": F.lit(1)})
+    q1, q3 = F.col("quantiles").getItem(0), F.col("quantiles").getItem(2)
+    reach = IQR_FENCE * (q3 - q1)
+    inside = (F.col("_v") >= q1 - reach) & (F.col("_v") <= q3 + reach)
+    quartiles = F.first("quantiles", ignorenulls=True)
+    return rows.groupBy(*group).agg(
         F.min("_v").alias("min"),
-        F.first("q1").alias("q1"),
-        F.first("median").alias("median"),
-        F.first("q3").alias("q3"),
+        quartiles.getItem(0).alias("q1"),
+        quartiles.getItem(1).alias("median"),
+        quartiles.getItem(2).alias("q3"),
         F.max("_v").alias("max"),
         F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),

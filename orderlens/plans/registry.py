@@ -883,14 +883,28 @@ def _ml_fact(star: Star, variant: str = "A") -> DataFrame:
     return star.fact(*dict.fromkeys(c for c in wanted if c in FACT_COLUMNS and c not in derived))
 
 
-def _ml_split(star: Star, variant: str = "A") -> DataFrame:
-    identified = _ml_fact(star, variant).withColumn("_bucket", ml_data.split_bucket())
-    features = ml_data.ml_feature_table(identified, variant, keep=["_bucket"])
-    return features.withColumn("split", F.when(F.col("_bucket") < 20, "test").otherwise("train")).drop("_bucket")
+_FEATURES: dict[tuple[str, str, str], str] = {}
+
+
+def _feature_store(star: Star, variant: str = "A") -> DataFrame:
+    """Feature table with its split, written once per session and folder.
+
+    Training and scoring read the fact many times; the stored table spares its joins and
+    needs no recomputation when an executor is lost.
+    """
+    key = (star.spark.sparkContext.applicationId, star.sf_dir, variant)
+    if key not in _FEATURES:
+        identified = _ml_fact(star, variant).withColumn("_bucket", ml_data.split_bucket())
+        features = ml_data.ml_feature_table(identified, variant, keep=["_bucket"])
+        path = scratch_path(star.spark, f"features_{variant}")
+        split = F.when(F.col("_bucket") < 20, "test").otherwise("train")
+        features.withColumn("split", split).drop("_bucket").write.partitionBy("split").parquet(path)
+        _FEATURES[key] = path
+    return star.spark.read.parquet(_FEATURES[key])
 
 
 def _part(star: Star, part: str, variant: str = "A") -> DataFrame:
-    return _ml_split(star, variant).filter(F.col("split") == part).drop("split")
+    return _feature_store(star, variant).filter(F.col("split") == part).drop("split")
 
 
 _FITTED: dict[tuple[str, str, str, str], PipelineModel] = {}
@@ -1039,8 +1053,7 @@ def ml_save_load(star: Star) -> DataFrame:
     model = _model(star, ml_models.DECISION_TREE)
     path = scratch_path(star.spark, "model")
     ml_models.save_model(model, path)
-    test = ml_data.ml_feature_table(_ml_fact(star).withColumn("_b", ml_data.split_bucket()), "A", keep=[*KEYS, "_b"])
-    rows = test.filter(F.col("_b") < 20)
+    rows = _part(star, "test")
     before = ml_models.predict(model, rows, "stored", keep=["label"])
     after = ml_models.predict(ml_models.load_model(path), rows, "stored", keep=["label"])
     def summary(df: DataFrame) -> DataFrame:
