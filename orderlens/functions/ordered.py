@@ -47,20 +47,28 @@ def running_sums(
     by: Sequence[str] = (),
     descending: bool = False,
 ) -> DataFrame:
-    """Add ``<s>_before`` per ``s`` in ``sums``: its total over rows ordered before.
+    """Add ``<s>_before`` and ``<s>_total`` per ``s`` in ``sums``.
 
+    The first sums over the rows ordered before, the second over all rows of the group.
     ``grouped`` has one row per ``(by..., value)`` and no null values. Ascending means
     over smaller values, descending over greater ones.
     """
     placed = grouped.withColumn("_bucket", interval(F.col(value)))
     totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
     rank = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
-    offsets = totals.select(*by, "_bucket", *[_before(s, by, rank).alias(f"_off_{s}") for s in sums])
+    whole = Window.partitionBy(*by)
+    offsets = totals.select(
+        *by,
+        "_bucket",
+        *[_before(s, by, rank).alias(f"_off_{s}") for s in sums],
+        *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums],
+    )
     inner = F.col(value).desc() if descending else F.col(value).asc()
     keys = [*by, "_bucket"]
     return placed.join(offsets, keys, "inner").select(
         *grouped.columns,
         *[(F.col(f"_off_{s}") + _before(s, keys, inner)).alias(f"{s}_before") for s in sums],
+        *[f"{s}_total" for s in sums],
     )
 
 

@@ -99,7 +99,7 @@ def ml_leakage_report(fact: DataFrame, columns: Sequence[str], target: str, vari
         *[F.struct(F.lit(c).alias("feature"), F.lit(c in LEAKY[variant]).alias("rejected")) for c in columns]
     )
     return pair_correlations(fact, [(c, target) for c in columns]).select(
-        features.getItem(F.col("pair")).alias("f"), F.round("r", 4).alias("r_with_target")
+        features[F.col("pair")].alias("f"), F.round("r", 4).alias("r_with_target")
     ).select("f.feature", "f.rejected", "r_with_target")
 
 

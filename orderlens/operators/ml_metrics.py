@@ -93,22 +93,18 @@ def roc_auc(predictions: DataFrame) -> DataFrame:
 
 def ml_metrics(predictions: DataFrame) -> DataFrame:
     """``model, metric, value``: accuracy, precision, recall, F1 and ROC-AUC."""
-    row = (
-        _counts(predictions)
-        .join(roc_auc(predictions), "model")
-        .select(
-            "model",
-            *[value.alias(name) for name, value in _threshold_metrics().items()],
-            F.round("auc", 4).alias("roc_auc"),
-        )
+    rates = _counts(predictions).select(
+        "model", *[value.alias(name) for name, value in _threshold_metrics().items()]
     )
-    return row.select(
+    at_threshold = rates.select(
         "model",
         F.expr(
-            "stack(5, 'accuracy', accuracy, 'precision', precision, 'recall', recall,"
-            " 'f1_score', f1_score, 'roc_auc', roc_auc) AS (metric, value)"
+            "stack(4, 'accuracy', accuracy, 'precision', precision, 'recall', recall, 'f1_score', f1_score)"
+            " AS (metric, value)"
         ),
     )
+    auc = roc_auc(predictions).select("model", F.lit("roc_auc").alias("metric"), F.round("auc", 4).alias("value"))
+    return at_threshold.unionByName(auc)
 
 
 def ml_confusion_matrix(predictions: DataFrame) -> DataFrame:
@@ -121,17 +117,12 @@ def ml_confusion_matrix(predictions: DataFrame) -> DataFrame:
 
 def ml_roc_curve(predictions: DataFrame) -> DataFrame:
     """False and true positive rate at every distinct score, as threshold from above."""
-    by_score = _by_score(predictions)
-    totals = by_score.groupBy("model").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return (
-        running_sums(by_score, "score", ["pos", "neg"], ["model"], descending=True)
-        .join(totals, "model")
-        .select(
-            "model",
-            F.col("score").alias("threshold"),
-            F.round(F.try_divide(F.col("neg_before") + F.col("neg"), F.col("n")), 6).alias("fpr"),
-            F.round(F.try_divide(F.col("pos_before") + F.col("pos"), F.col("p")), 6).alias("tpr"),
-        )
+
+    def rate(side: str) -> Column:
+        return F.round(F.try_divide(F.col(f"{side}_before") + F.col(side), F.col(f"{side}_total")), 6)
+
+    return running_sums(_by_score(predictions), "score", ["pos", "neg"], ["model"], descending=True).select(
+        "model", F.col("score").alias("threshold"), rate("neg").alias("fpr"), rate("pos").alias("tpr")
     )
 
 
