@@ -37,7 +37,7 @@ from ..schema import (
     RAW_CSV_FIELDS,
     snake_case,
 )
-from ..session import scratch_path
+from ..session import ensure_skew_handling, scratch_path
 from ..sources import files
 from ..sources.star import FACT_COLUMNS, RAW_COLUMNS, Star
 
@@ -59,7 +59,11 @@ def query(function: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(function: Callable[[Star], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: function(Star(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_skew_handling(spark)
+            return function(Star(spark, sf_dir.rstrip("/")))
+
+        return run
 
     return {name: bound(function) for name, function in QUERIES.items()}
 
@@ -395,22 +399,20 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 @query
 def clean_run(star: Star) -> DataFrame:
-    return _doubles(cleaning.clean_run(star.raw(), "A"))
+    return _doubles(cleaning.clean_run(star.raw(), "A", lambda df: files.stored(df, "unique_rows")))
 
 
 @query
 def clean_run_alt(star: Star) -> DataFrame:
-    return _doubles(cleaning.clean_run(star.raw(), "B"))
+    return _doubles(cleaning.clean_run(star.raw(), "B", lambda df: files.stored(df, "unique_rows")))
 
 
 @query
 def quality_log(star: Star) -> DataFrame:
     """The log of a cleaning run over stored raw and cleaned tables."""
-    root = scratch_path(star.spark, "quality")
-    star.raw().write.parquet(f"{root}/raw")
-    raw = star.spark.read.parquet(f"{root}/raw")
-    cleaning.clean_run(raw, "A").write.parquet(f"{root}/cleaned")
-    return cleaning.quality_log(raw, "A", star.spark.read.parquet(f"{root}/cleaned"))
+    raw = files.stored(star.raw(), "raw")
+    cleaned = cleaning.clean_run(raw, "A", lambda df: files.stored(df, "unique_rows"))
+    return cleaning.quality_log(raw, "A", files.stored(cleaned, "cleaned"))
 
 
 # --- business queries --------------------------------------------------------------------

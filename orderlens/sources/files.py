@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import raw_csv_schema, snake_case
+from ..session import scratch_path
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -81,6 +82,18 @@ def write_clean(df: DataFrame, root: str, partition_by: str = "order_year", csv:
     return paths
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to a fresh table in the shared folder and read back.
+
+    Cuts the lineage: later reads prune columns, and a lost executor costs no recomputation
+    of the steps before.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def fact_view(df: DataFrame, name: str = "orders_fact") -> DataFrame:
     """Register the fact for SQL under a name, with snake-case columns."""
     renamed = snake_case_columns(df)
