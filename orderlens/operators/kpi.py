@@ -25,21 +25,31 @@ def _risk(value: int) -> Column:
     return F.col("late_delivery_risk") == value
 
 
-def _top_group(fact: DataFrame, column: str) -> DataFrame:
-    """One row: the group with the highest sales, its sales, and the total.
+def _best_of(groups: DataFrame, column: str) -> DataFrame:
+    """One row (name, sales, total): the group with the highest sales, first name on a tie.
 
-    The best group is a running maximum of (sales, name) pairs, so no global sort and no
-    window is needed, however many groups there are. On equal sales the first name wins.
+    ``groups`` holds partial sums. The best group is a running minimum of (-sales, name)
+    pairs, so there is no global sort and no window, however many groups there are.
     """
-    groups = fact.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("sales").alias("sales"))
+    sums = groups.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("sales").alias("sales"))
     best = F.min_by(F.struct(F.col(column).alias("name"), F.col("sales")), F.struct(-F.col("sales"), F.col(column)))
-    return groups.agg(best.alias("best"), F.sum("sales").alias("total")).select(
+    return sums.agg(best.alias("best"), F.sum("sales").alias("total")).select(
         F.col("best.name").alias("name"), F.col("best.sales").alias("sales"), "total"
     )
 
 
+def _best_of_each(fact: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """The best group of each column as scalar structs, from one pass over the fact.
+
+    Lines are summed to combinations of the columns first; all columns are vocabularies
+    of tens of values, and Spark reuses that one shuffle for every column.
+    """
+    groups = fact.groupBy(*columns).agg(F.sum("sales").alias("sales"))
+    return [_best_of(groups, column).select(F.struct("*").alias("top")).scalar() for column in columns]
+
+
 def kpi_top_share(fact: DataFrame, column: str) -> DataFrame:
-    top = _top_group(fact, column)
+    top = _best_of(fact.select(column, "sales"), column)
     return top.select(
         F.col("name").alias(column),
         money(F.col("sales")).alias("sales"),
@@ -128,10 +138,7 @@ def kpi_summary(fact: DataFrame, drop_tail_months: int = 4) -> DataFrame:
         pct(F.sum("risk"), F.sum("lines")).alias("late_delivery_rate_pct"),
         pct(F.sum("canceled"), F.sum("lines")).alias("cancellation_rate_pct"),
     )
-    category, region, department = (
-        _top_group(fact, column).select(F.struct("*").alias("top")).scalar()
-        for column in ("category_name", "order_region", "department_name")
-    )
+    category, region, department = _best_of_each(fact, ("category_name", "order_region", "department_name"))
     growth = kpi_sales_growth(fact, drop_tail_months).select("sales_growth_pct").scalar()
     return base.select(
         "*",
@@ -157,14 +164,13 @@ def kpi_summary_alt(fact: DataFrame, drop_tail_months: int = 1) -> DataFrame:
         pct(F.sum("late"), F.sum("lines")).alias("late_delivery_rate_pct"),
         pct(count_when((F.col("canceled") > 0) & F.col("order_id").isNotNull()), F.count("order_id")).alias("cancellation_rate_pct"),
     )
-    category = _top_group(fact, "category_name").select("name").scalar()
-    region = _top_group(fact, "order_region").select("name").scalar()
+    category, region = _best_of_each(fact, ("category_name", "order_region"))
     growth = kpi_sales_growth(fact, drop_tail_months).select("sales_growth_pct").scalar()
     return base.select(
         "*",
         growth.alias("sales_growth_rate_pct_first_vs_last_month"),
-        category.alias("top_category"),
-        region.alias("top_region"),
+        category["name"].alias("top_category"),
+        region["name"].alias("top_region"),
     )
 
 
