@@ -39,17 +39,25 @@ def ensure_skew_handling(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+# Temporary folder per application, for sessions without a configured one.
+_OWN_FOLDERS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for written intermediate tables and checkpoints.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only when that is
-    unset (single-machine tests) is a temporary folder chosen.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Only when that is unset,
+    and only on a single machine, is a temporary folder used instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="orderlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if context.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="orderlens-")
+    return _OWN_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
