@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_when, money, pct, year_month
+from ..functions.columns import money, pct, year_month
 from ..functions.ordered import quantile_row, quantiles_of_counts, value_counts
 from ..schema import IQR_FENCE
 

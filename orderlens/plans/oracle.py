@@ -118,10 +118,6 @@ def _dates(column: str) -> str:
     return CLEAN_DATES.format(c=column).strip()
 
 
-def _stack(select: list[tuple[str, str]], source: str, label: str = "check_name") -> str:
-    return " UNION ALL ".join(f"SELECT '{name}' AS {label}, CAST({value} AS DOUBLE) AS value FROM {source}" for name, value in select)
-
-
 def _checks(check: str, items: list[tuple[str, str]], source: str) -> str:
     return " UNION ALL ".join(
         f"SELECT '{check}' AS \"check\", '{name}' AS column_name, CAST({value} AS DOUBLE) AS value FROM {source}"
