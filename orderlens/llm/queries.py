@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
+from .chat import OP3_SQL, op3_chat
+from .packing import op8_packing
+from .piecewise_hash import op5_piecewise_hash
+from .repetition import op6_repetition
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_byte_bpe,)}
+    return {f.__name__: f for f in (op3_chat, op5_piecewise_hash, op6_repetition, op8_packing, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat": OP3_SQL}
