@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pieces import TextCoder
+from .pieces import PieceCoder, TextCoder
 from .words import text_column
 
 #: Above every rank.
@@ -196,7 +196,7 @@ def coder(ranks: bytes, pattern: str) -> tuple[TextCoder, Decoder]:
     key = hashlib.sha256(ranks + pattern.encode()).hexdigest()
     if key not in _CODERS:
         parsed = parse_ranks(ranks)
-        _CODERS[key] = (TextCoder(pattern, MatrixEncoder(parsed)), Decoder(parsed))
+        _CODERS[key] = (TextCoder(PieceCoder(pattern, MatrixEncoder(parsed))), Decoder(parsed))
     return _CODERS[key]
 
 

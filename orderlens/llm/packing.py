@@ -11,8 +11,9 @@ length is a power of two, which need no padding. So no sequence is padded at all
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .words import text_column
 
 #: Texts tokenized together.
 _TEXTS = 512
+#: Words whose ids a worker remembers.
+_KEPT_WORDS = 700_000
 #: Sequences of one partition have numbers below this.
 _PER_PARTITION = 1 << 40
 #: A piece in the making: row number in the task, start, ids.
@@ -100,33 +103,65 @@ class SumOfSquares:
         return self._size if left >= self._size else 1 << (left.bit_length() - 1) if left else 0
 
 
-def ids_of_pieces(tokenizer: tokenizers.Tokenizer, pieces: list[str]) -> list[bytes]:
-    found = tokenizer.encode_batch(pieces, add_special_tokens=False)
-    return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+#: Words joined to one text for the tokenizer.
+_TOGETHER = 1000
+
+
+class WordEncoder:
+    """Ids of many short texts by few calls of a byte-level tokenizer.
+
+    Texts that neither begin nor end with white space, but for one first blank, are joined by line
+    feeds, which the split pattern makes pieces of their own; the ids are cut at the line feed's id.
+    """
+
+    def __init__(self, tokenizer: tokenizers.Tokenizer):
+        self._tokenizer = tokenizer
+        self._feed = self._ids(["\n"])[0][0]
+
+    def _ids(self, texts: Sequence[str]) -> list[list[int]]:
+        return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: Sequence[str]) -> list[bytes]:
+        joined = [k for k, t in enumerate(texts) if t and not t[-1].isspace() and (t[0] == " " or not t[0].isspace()) and "\n" not in t]
+        out: list[bytes] = [b""] * len(texts)
+        alone = sorted(set(range(len(texts))).difference(joined))
+        for k, ids in zip(alone, self._ids([texts[k] for k in alone]), strict=True):
+            out[k] = np.array(ids, dtype="<u4").tobytes()
+        groups = [joined[i : i + _TOGETHER] for i in range(0, len(joined), _TOGETHER)]
+        for group, ids in zip(groups, self._ids(["\n".join([texts[k] for k in group]) for group in groups]), strict=True):
+            data = np.array(ids, dtype="<u4")
+            feeds = np.flatnonzero(data == self._feed)
+            if len(feeds) != len(group) - 1:
+                raise ValueError("the tokenizer does not keep line feeds apart")
+            raw, edges = data.tobytes(), (4 * feeds).tolist()
+            for k, a, b in zip(group, [0, *(x + 4 for x in edges)], [*edges, len(raw)], strict=True):
+                out[k] = raw[a:b]
+        return out
 
 
 #: Text coders of this worker, by the digest of the vocabulary; its tasks share them.
 _CODERS: dict[str, TextCoder] = {}
 
 
-def coder(vocabulary: str, pattern: str) -> TextCoder:
-    key = hashlib.sha256((vocabulary + pattern).encode()).hexdigest()
+def coder(vocabulary: str) -> TextCoder:
+    key = hashlib.sha256(vocabulary.encode()).hexdigest()
     if key not in _CODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         tokenizer = tokenizers.Tokenizer.from_str(vocabulary)
         tokenizer.encode_special_tokens = True
-        _CODERS[key] = TextCoder(pattern, lambda pieces: ids_of_pieces(tokenizer, pieces))
+        _CODERS[key] = TextCoder(WordEncoder(tokenizer), kept=_KEPT_WORDS)
     return _CODERS[key]
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, pattern: str, size: int = 1024, end_id: int = 0, per_level: int = 16, keep_ids: bool = True
+    docs: DataFrame, vocabulary: str, size: int = 1024, end_id: int = 0, per_level: int = 16, keep_ids: bool = True
 ) -> DataFrame:
     """One row for each piece of a document in a sequence.
 
     Columns: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, with
     ``keep_ids``, the piece's ``ids`` (little-endian unsigned 32-bit). ``vocabulary`` is the content
-    of a tokenizers file, whose size is fixed; ``pattern`` is its split pattern. Special tokens in a
-    text are plain text. No shuffle: a partition is packed where it is read, and a lost task packs
+    of a tokenizers file of a byte-level vocabulary, whose size is fixed. Special tokens in a text are
+    plain text. No shuffle: a partition is packed where it is read, and a lost task packs
     the same rows anew with the same sequence numbers. A null text counts as empty (the closing id
     alone), a null ``doc_id`` stays null, repeated rows are packed each, other columns are not read.
     ``size`` is a power of two.
@@ -138,7 +173,7 @@ def pack_documents(
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = coder(content.value, pattern)
+        encoder = coder(content.value)
         sequence = TaskContext.get().partitionId() * _PER_PARTITION
         done: list[list] = []
         named: dict[int, list] = {}  # doc_id, tokens and tokens not yet packed, of documents in open windows
@@ -193,7 +228,7 @@ def pack_public(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
-        return pack_documents(docs, file.read(), public_tokenizers.PATTERN, keep_ids=keep_ids)
+        return pack_documents(docs, file.read(), keep_ids=keep_ids)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

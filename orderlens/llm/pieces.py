@@ -1,9 +1,9 @@
-"""Token ids of whole texts by way of a bounded memory of pieces.
+"""Token ids of whole texts by way of a bounded memory of words.
 
 The split pattern of the byte-level vocabularies cuts a text into pieces that are encoded one by
 one. Where no two white-space characters stand together, every blank and every line feed is a place
-where the pattern cuts, so the words between them can be looked up whole. Other texts go through
-the pattern piece by piece; both ways give the same ids.
+where the pattern cuts, so the words between them are encoded by themselves and looked up when they
+come again. Other texts are encoded whole; both ways give the same ids.
 """
 
 from __future__ import annotations
@@ -13,73 +13,89 @@ from collections.abc import Callable, Sequence
 
 import regex
 
-#: Ids as little-endian unsigned 32-bit integers.
-Ids = bytes
-Encode = Callable[[Sequence[str]], list[Ids]]
+#: Turns texts into ids, as little-endian unsigned 32-bit integers.
+Encode = Callable[[Sequence[str]], list[bytes]]
 
 _TWO_SPACES = re.compile(r"\s\s")
-#: Longer pieces are encoded each time they come.
+#: Longer words and pieces are encoded each time they come.
 _LONGEST_KEPT = 64
 
 
 class TextCoder:
-    """Ids of texts; ``encode`` turns distinct pieces of the pattern into ids.
+    """Ids of texts; at most about ``kept`` words are remembered, after which the memory starts anew."""
 
-    ``kept`` bounds the entries of each of the two memories, which start anew when full.
-    """
+    def __init__(self, encode: Encode, kept: int = 500_000):
+        self._encode, self._kept = encode, kept
+        self._words: dict[str, bytes] = {}
 
-    def __init__(self, pattern: str, encode: Encode, kept: int = 300_000):
-        self._split = regex.compile(pattern).findall
-        self._encode = encode
-        self._kept = kept
-        self._words: dict[str, Ids] = {}
-        self._pieces: dict[str, Ids] = {}
-
-    def _of_pieces(self, lists: Sequence[list[str]]) -> list[Ids]:
-        known = self._pieces
-        if len(known) > self._kept:
-            known.clear()
-        new = list({p for pieces in lists for p in pieces if p not in known})
-        local = dict(zip(new, self._encode(new), strict=True))
-        known.update((p, ids) for p, ids in local.items() if len(p) <= _LONGEST_KEPT)
-        return [b"".join([local[p] if p in local else known[p] for p in pieces]) for pieces in lists]
-
-    def encode(self, texts: Sequence[str]) -> list[Ids]:
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text."""
         words = self._words
         if len(words) > self._kept:
             words.clear()
-        cut: list[list[str] | None] = []
-        plain: list[int] = []
+        cut: list[list[str]] = []
+        whole: list[int] = []
         seen: set[str] = set()
-        heads: list[str] = []
         for k, text in enumerate(texts):
             if _TWO_SPACES.search(text):
-                cut.append(None)
-                plain.append(k)
+                cut.append([])
+                whole.append(k)
                 continue
-            # A word after a line feed has no blank before it and is marked by a carriage return,
-            # which cannot follow a blank here.
-            parts = text.replace("\n", " \n \r").split(" ")
-            heads.append(parts[0])
-            parts[0] = "\r" + parts[0]
+            # A carriage return marks a word with no blank before it: the first one and those after
+            # a line feed. Elsewhere a word cannot begin with one here.
+            parts = ("\r" + text.replace("\n", " \n \r")).split(" ")
             seen.update(parts)
             cut.append(parts)
         new = [w for w in seen if w not in words]
         shown = ["\n" if w == "\n" else w[1:] if w[:1] == "\r" else " " + w for w in new]
-        found = self._of_pieces([self._split(w) for w in shown])
-        local = dict(zip(new, found, strict=True))
-        words.update((w, ids) for w, ids in local.items() if len(w) <= _LONGEST_KEPT)
-        out: list[Ids] = []
-        for parts in cut:
-            if parts is None:
-                out.append(b"")
-                continue
-            try:
-                out.append(b"".join(map(words.__getitem__, parts)))
-            except KeyError:
-                out.append(b"".join([local[w] if w in local else words[w] for w in parts]))
+        found = self._encode([*shown, *(texts[k] for k in whole)])
+        local = dict(zip(new, found, strict=False))
+        words.update(local)
+        get = words.__getitem__
+        out = [b"".join(map(get, parts)) for parts in cut]
+        for k, ids in zip(whole, found[len(new) :], strict=True):
+            out[k] = ids
+        for w in new:
+            if len(w) > _LONGEST_KEPT:
+                del words[w]
+        return out
+
+
+class PieceCoder:
+    """Ids of texts by the matches of a pattern; ``encode`` gets distinct matches that are not remembered."""
+
+    def __init__(self, pattern: str, encode: Encode, kept: int = 300_000):
+        self._split = regex.compile(pattern).findall
+        self._encode, self._kept = encode, kept
+        self._pieces: dict[str, bytes] = {}
+
+    def __call__(self, texts: Sequence[str]) -> list[bytes]:
+        known = self._pieces
+        if len(known) > self._kept:
+            known.clear()
+        # A line feed between texts that hold no white space but a first blank is a piece by itself.
+        plain = [k for k, t in enumerate(texts) if t and len(t.split()) == 1 and not t[-1].isspace() and t[:2].rstrip()]
+        plain = [k for k in plain if texts[k].split()[0] == texts[k].removeprefix(" ")]
+        lists: list[list[str]] = [[] for _ in texts]
+        at = iter(plain)
+        pieces: list[str] = []
+        for piece in self._split("\n".join([texts[k] for k in plain])):
+            if piece == "\n":
+                lists[next(at)] = pieces
+                pieces = []
+            else:
+                pieces.append(piece)
         if plain:
-            for k, ids in zip(plain, self._of_pieces([self._split(texts[k]) for k in plain]), strict=True):
-                out[k] = ids
+            lists[next(at)] = pieces
+        done = set(plain)
+        for k, text in enumerate(texts):
+            if k not in done:
+                lists[k] = self._split(text)
+        new = list({p for pieces in lists for p in pieces if p not in known})
+        known.update(zip(new, self._encode(new), strict=True))
+        get = known.__getitem__
+        out = [get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces)) for pieces in lists]
+        for p in new:
+            if len(p) > _LONGEST_KEPT:
+                del known[p]
         return out

@@ -53,8 +53,8 @@ def test_long_pieces(ranks, peer):
 
 def test_memory_starts_anew(ranks):
     parsed = byte_bpe.parse_ranks(ranks)
-    small = byte_bpe.TextCoder(public_tokenizers.PATTERN, byte_bpe.MatrixEncoder(parsed), kept=5)
-    large = byte_bpe.TextCoder(public_tokenizers.PATTERN, byte_bpe.MatrixEncoder(parsed))
+    made = lambda kept: byte_bpe.PieceCoder(public_tokenizers.PATTERN, byte_bpe.MatrixEncoder(parsed), kept)
+    small, large = byte_bpe.TextCoder(made(5), kept=5), byte_bpe.TextCoder(made(10**6))
     own = texts(200, 9)
     assert [small.encode([t])[0] for t in own] == large.encode(own)
 

@@ -63,7 +63,7 @@ def test_rows_of_any_kind(spark, tokenizer):
     assert all(len(r.ids) == 4 * r.length for r in got)
     assert packing.pack_public(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        packing.pack_documents(docs, "", "", size=1000)
+        packing.pack_documents(docs, "", size=1000)
 
 
 def test_rule_by_brute_force():
