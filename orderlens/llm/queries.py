@@ -9,12 +9,25 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op10_byte_bpe
 from .chat import OP3_SQL, op3_chat
 from .packing import op8_packing
+from .pii import op1_pii
 from .piecewise_hash import op5_piecewise_hash
 from .repetition import op6_repetition
+from .secret_scan import op7_secret_scan
+from .substring_dedup import op4_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_chat, op5_piecewise_hash, op6_repetition, op8_packing, op10_byte_bpe)}
+    found = (
+        op1_pii,
+        op3_chat,
+        op4_substring_dedup,
+        op5_piecewise_hash,
+        op6_repetition,
+        op7_secret_scan,
+        op8_packing,
+        op10_byte_bpe,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
