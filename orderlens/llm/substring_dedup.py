@@ -40,7 +40,7 @@ PAIRS = pa.schema([("name", pa.int64()), ("doc", pa.int64())])
 def high_symbols(words: Words) -> np.ndarray:
     """For each word the high symbol of the block that begins there; 0 where none begins or the row's edge is near.
 
-    The top byte holds the block's length in bytes, up to 255, the rest is its name.
+    The top byte holds the length of the block's words in bytes, up to 255, the rest is its name.
     """
     name, row = words.name, words.row
     n = len(name)
@@ -63,7 +63,9 @@ def high_symbols(words: Words) -> np.ndarray:
     inside = (row[at - CONTEXT] == row[at]) & (row[after + CONTEXT - 1] == row[at])
     at, after = at[inside], after[inside]
     high = mix((name[at - 1] * _HIGH + symbol[at]) * _HIGH + name[after])
-    size = np.minimum(words.stop[after - 1] - words.start[at], 255).astype(np.uint64)
+    # Of the words alone: what stands between them may differ.
+    letters = words.stop - words.start
+    size = np.minimum(letters[at] + np.where(after - at == 2, letters[after - 1], 0), 255).astype(np.uint64)
     out[at] = (size << np.uint64(56)) | (high >> np.uint64(8))
     return out
 
