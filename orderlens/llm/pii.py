@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import stored
-from .native_spans import listed, matches
+from .native_spans import bound, listed, matches
 
 NO, ABSTAIN, YES = 0, 1, 2
 LABELERS = 5
@@ -167,11 +167,6 @@ def candidates(docs: DataFrame) -> DataFrame:
     return matched.select("doc_id", F.concat(*[F.expr(_candidates(k, i)) for i, k in enumerate(KINDS)]).alias("spans"))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _probability(pattern: Column, state: Column) -> Column:
     """Of a vote pattern (``k``, ``votes``) being a true span."""
     log = F.aggregate(
@@ -194,7 +189,7 @@ def _reliability(found: Column, weight, start: tuple[float, ...]) -> Column:
             lambda a, x: a + F.when(F.get(x["votes"], F.floor(j / 3).cast("int")) == j % 3, x["n"] * weight(x)).otherwise(0.0),
         ),
     )
-    return _bound(sums, lambda s: F.transform(s, lambda x, j: x / _three(s, j)))
+    return bound(sums, lambda s: F.transform(s, lambda x, j: x / _three(s, j)))
 
 
 def _three(sums: Column, j: Column) -> Column:
@@ -229,7 +224,7 @@ def pattern_probabilities(spans: DataFrame) -> DataFrame:
                 _reliability(found, lambda x: 1 - x["p"], START_FALSE).alias("no"),
             )
 
-        return _bound(weighed, maximised)
+        return bound(weighed, maximised)
 
     fitted = row.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step))
     key = lambda x: F.concat_ws(":", x["k"], F.array_join(F.transform(x["votes"], lambda v: v.cast("string")), ""))
@@ -272,8 +267,9 @@ def _all_features() -> Column:
 def find_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans`` for each row of documents: ``array<struct<kind, rank, start, stop, base, score>>``.
 
-    Base spans (``base``) always stay. Other candidates stay if the classifier gives them at least
-    the probability ``THRESHOLD`` and they share no code point with a base span. Positions are code
+    Base spans (``base``) always stay. Candidates of the further kinds stay if the classifier gives
+    them at least the probability ``THRESHOLD`` and they share no code point with a base span;
+    matches of a base kind that fail its check only serve as examples. Positions are code
     points, ``stop`` exclusive. A null text counts as empty, a null ``doc_id`` stays null, repeated
     rows each get their result, other columns are not read. The candidates, without the texts, are
     written once to the shared folder and read for statistics and decision.
@@ -291,7 +287,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     decided = found.withColumn("score", score).select("doc_id", F.transform("spans", scored).alias("spans"))
     base = F.filter("spans", lambda s: s["base"])
     limit = math.log(THRESHOLD / (1 - THRESHOLD))
-    added = lambda s: (s["score"] >= limit) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+    extra = lambda s: s["rank"] >= len(BASE)
+    added = lambda s: extra(s) & (s["score"] >= limit) & ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     return decided.withColumn("base", base).select("doc_id", F.filter("spans", lambda s: s["base"] | added(s)).alias("spans"))
 
 

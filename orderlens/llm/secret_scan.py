@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import stored
-from .native_spans import listed, matches
+from .native_spans import bound, listed, matches
 
 #: Kinds in the order in which spans of one start are listed; the first three are the base.
 KINDS = ("assign", "access", "hex", "random")
@@ -65,11 +65,6 @@ def tail(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1 - upper)
 
 
-def _bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _encoding(body: Column) -> Column:
     """Name of the smallest encoding; null for numbers, which are no secrets by themselves."""
     found = F.when(body.rlike("^[0-9_+/-]*$"), F.lit(None).cast("string"))
@@ -110,12 +105,12 @@ def _battery(body: Column, encoding: Column) -> Column:
             return F.least(F.lit(1.0), 2 * tail(F.abs(r + 1 / n) * F.sqrt(n)))
 
         return F.struct(
-            n.alias("n"), size.alias("size"), chi.alias("chi"), p_uniform.alias("p_uniform"), p_runs.alias("p_runs"), _bound(centred, serial).alias("p_serial")
+            n.alias("n"), size.alias("size"), chi.alias("chi"), p_uniform.alias("p_uniform"), p_runs.alias("p_runs"), bound(centred, serial).alias("p_serial")
         )
 
     symbols = F.filter(F.split(body, "(?!^)"), lambda c: c != "")
     codes = F.transform(symbols, lambda c: F.call_function("instr", alphabet, c) - 1)
-    return F.when(encoding.isNotNull(), _bound(F.struct(codes.alias("codes"), F.length(alphabet).alias("size")), of_codes))
+    return F.when(encoding.isNotNull(), bound(F.struct(codes.alias("codes"), F.length(alphabet).alias("size")), of_codes))
 
 
 def _spans(found: Column, kind: str) -> Column:
@@ -156,7 +151,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         body = F.regexp_replace(m["found"], "=+$", "")
         plain = body.rlike("^[A-Z]?[a-z]+$|^[A-Z]+$")
         encoding = F.when(plain, F.lit("lower")).otherwise(_encoding(body))
-        return _bound(F.struct(m["start"], m["stop"], body.alias("body"), encoding.alias("encoding")), of)
+        return bound(F.struct(m["start"], m["stop"], body.alias("body"), encoding.alias("encoding")), of)
 
     tokens = F.filter(F.transform(free, tested), lambda x: x["encoding"].isNotNull())
     return found.select("doc_id", "base", tokens.alias("tokens"))
