@@ -19,7 +19,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import stored
 from .components import connected_components
+from .groups import in_blocks, over_groups, pairs, roots
 from .words import Chunk, Words, chunks, mix, text_column, window_names, words_of
 
 SHINGLE = 5
@@ -160,7 +160,7 @@ def embedded_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return _own(docs).mapInArrow(run, "doc_id long, doc long, key long, empty boolean, embedded binary, sketch binary")
 
 
-def _matrix(column: pa.Array, kind: str = "<u4") -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, kind: str = "<u4") -> np.ndarray:
     """Binary values of one length as a matrix."""
     values = column.to_pylist()
     return np.frombuffer(b"".join(values), dtype=kind).reshape(len(values), -1) if values else np.zeros((0, COORDINATES), dtype=kind)
@@ -204,85 +204,68 @@ def _met(nodes: DataFrame) -> DataFrame:
     return own.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node"))).filter("n > 1")
 
 
-def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """Rows of groups of ``n``, copied so that any two of a group meet in one pair of blocks ``x <= y``.
-
-    Groups up to ``block`` stay whole. A group of many blocks goes to as many tasks as it has pairs of
-    them, each of at most two blocks; ``own`` is the row's block.
-    """
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(7)), blocks).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return other.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
-
-
-def _roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Least member of each one's component."""
-    root = np.arange(n)
-    while True:
-        new = root.copy()
-        np.minimum.at(new, left, root[right])
-        np.minimum.at(new, right, root[left])
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
-def _pairs_of_blocks(own: np.ndarray, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
-    return (np.flatnonzero(own == x), np.flatnonzero(own == y)) if x != y else (np.arange(len(own)),) * 2
-
-
-def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
-    """Edges to the least key of each component of similar sketches in a pair of blocks."""
-    key = frame["key"].to_numpy()
-    sketch = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint8).reshape(len(key), -1)
-    a, b = _pairs_of_blocks(frame["own"].to_numpy(), frame["x"].iat[0], frame["y"].iat[0])
-    left, right = [], []
-    for i in range(0, len(a), 32):
-        share = (sketch[a[i : i + 32], None] == sketch[None, b]).mean(axis=2)
-        near = np.argwhere(share >= CANDIDATE)
-        left.append(a[i + near[:, 0]])
-        right.append(b[near[:, 1]])
-    root = _roots(len(key), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(key))
+def _candidates(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """Edges to the first one of each component of similar sketches."""
+    key = rows.column("key").to_numpy()
+    sketch = _matrix(rows.column("sketch"), "u1")
+    found = []
+    for left, right in pairs(rows, starts):
+        near = (sketch[left] == sketch[right]).sum(axis=1) >= CANDIDATE * COORDINATES
+        found.append((left[near], right[near]))
+    root = roots(len(key), *(np.concatenate([f[k] for f in found]) for k in (0, 1)))
     apart = root != np.arange(len(key))
-    return pd.DataFrame({"a": key[apart], "b": key[root[apart]]})
+    return pa.RecordBatch.from_arrays([pa.array(key[apart]), pa.array(key[root[apart]])], names=["a", "b"])
 
 
-def _verified(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links of a pair of blocks of sets: for each set their number, weighed by copies, and an edge to its component."""
-    key, copies = frame["key"].to_numpy(), frame["copies"].to_numpy()
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Numbers of elements that the sets at ``left`` have in common with those at ``right``, as a matrix."""
     size = np.array([len(s) for s in sets])
-    x, y = frame["x"].iat[0], frame["y"].iat[0]
-    a, b = _pairs_of_blocks(frame["own"].to_numpy(), x, y)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), size)
-    # Columns with one set count for no pair.
-    often = np.bincount(token)
+    # An element of one set alone counts for no pair.
     kept = often[token] > 1
-    _, token = np.unique(token[kept], return_inverse=True)
-    row = row[kept]
-    common = np.zeros((len(a), len(b)), dtype=np.float32)
+    token, row = (np.cumsum(often > 1) - 1)[token[kept]], row[kept]
     order = np.argsort(token, kind="stable")
-    row, token = row[order], token[order]
+    token, row = token[order], row[order]
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
     width = 4096
     for first in range(0, int(token[-1]) + 1 if len(token) else 0, width):
         i, j = np.searchsorted(token, [first, first + width])
-        has = np.zeros((len(sets), width), dtype=np.float32)
+        has = np.zeros((len(sets), min(width, int(token[-1]) + 1 - first)), dtype=np.float32)
         has[row[i:j], token[i:j] - first] = 1
-        common += has[a] @ has[b].T
-    shared = common.astype(np.int64)
-    near = OF * shared >= NEAR * (size[a][:, None] + size[b][None, :] - shared)
-    near &= a[:, None] != b[None, :]
-    left, right = (z[k] for z, k in zip((a, b), np.nonzero(near), strict=True))
-    links = np.zeros(len(key), dtype=np.int64)
-    np.add.at(links, left, copies[right])
-    if x != y:
+        common += has[left] @ has[right].T
+    return common.astype(np.int64)
+
+
+def linked(rows: pa.Table, near: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one group's sets (``shingles``) with a Jaccard similarity of at least ``near / of``."""
+    sets = [np.frombuffer(x, dtype=np.uint64) for x in rows.column("shingles").to_pylist()]
+    size = np.array([len(s) for s in sets])
+    own, x, y = rows.column("own").to_numpy(), rows.column("x")[0].as_py(), rows.column("y")[0].as_py()
+    a, b = (np.flatnonzero(own == x), np.flatnonzero(own == y)) if x != y else (np.arange(len(own)),) * 2
+    shared = shared_counts(sets, a, b)
+    found = of * shared >= near * (size[a][:, None] + size[b][None, :] - shared)
+    found &= (a[:, None] < b[None, :]) if x == y else (shared > 0)
+    left, right = np.nonzero(found)
+    return a[left], b[right]
+
+
+def _verified(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """For each linked set its number of links, weighed by copies, and an edge to its component."""
+    made = []
+    for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if j - i < 2:
+            continue
+        part = rows.slice(i, j - i)
+        key, copies = part.column("key").to_numpy(), part.column("copies").to_numpy()
+        left, right = linked(part, NEAR, OF)
+        links = np.zeros(len(key), dtype=np.int64)
+        np.add.at(links, left, copies[right])
         np.add.at(links, right, copies[left])
-    root = _roots(len(key), left, right)
-    found = links > 0
-    return pd.DataFrame({"key": key[found], "near": key[root[found]], "links": links[found]})
+        found = links > 0
+        made.append((key[found], key[roots(len(key), left, right)[found]], links[found]))
+    columns = [np.concatenate([m[k] for m in made] or [np.zeros(0, dtype=np.int64)]) for k in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "near", "links"])
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -337,8 +320,8 @@ def similar_documents(docs: DataFrame, recall: float = RECALL, size: int = SHING
     for level in range(MORE_LEVELS + 1):
         last = level == MORE_LEVELS
         small = nodes if last else nodes.filter(F.col("n") <= BLOCK)
-        compared = _in_blocks(small, "node", BLOCK).join(sets.select("key", "sketch"), "key")
-        found = compared.groupBy("node", "x", "y").applyInPandas(_candidates, "a long, b long").distinct()
+        compared = in_blocks(small, "node", BLOCK).join(sets.select("key", "sketch"), "key")
+        found = over_groups(compared, ["node", "x", "y"], _candidates, "a long, b long").distinct()
         edges = found if edges is None else edges.union(found)
         crowded = nodes.filter(F.col("n") > BLOCK)
         if last or crowded.isEmpty():
@@ -348,8 +331,8 @@ def similar_documents(docs: DataFrame, recall: float = RECALL, size: int = SHING
     parts = connected_components(edges).withColumnsRenamed({"node": "key", "label": "part"})
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     wanted = copies.select("doc", "key", "copies").join(parts, "key").join(sizes, "part")
-    blocks = _in_blocks(_sets_of(docs, wanted.select("doc", "key", "copies", "part", "n"), size), "part", BLOCK // 2)
-    verified = stored(blocks.groupBy("part", "x", "y").applyInPandas(_verified, "key long, near long, links long"), "links")
+    blocks = in_blocks(_sets_of(docs, wanted.select("doc", "key", "copies", "part", "n"), size), "part", BLOCK // 2)
+    verified = stored(over_groups(blocks, ["part", "x", "y"], _verified, "key long, near long, links long"), "links")
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     classes = connected_components(verified.select(F.col("key").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "key")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op10_byte_bpe
 from .chat import OP3_SQL, op3_chat
+from .chosen_path import op9_chosen_path
 from .packing import op8_packing
 from .pii import op1_pii
 from .piecewise_hash import op5_piecewise_hash
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_repetition,
         op7_secret_scan,
         op8_packing,
+        op9_chosen_path,
         op10_byte_bpe,
     )
     return {f.__name__: f for f in found}
