@@ -126,16 +126,14 @@ def _paths(embedded: np.ndarray, runs: int, levels: int) -> tuple[np.ndarray, np
 
 
 def _own(docs: DataFrame) -> DataFrame:
-    """``doc_id, doc, text``; ``doc`` orders rows without an id last."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    """``doc_id, doc, hash, text``; ``doc`` orders rows, those without an id last, with ``hash`` it names one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def embedded_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, doc, key, empty, embedded, sketch`` for each row.
+    """``doc_id, doc, hash, key, empty, embedded, sketch`` for each row.
 
     The key of its set, its min-hash values, and their lowest bytes.
     """
@@ -148,16 +146,16 @@ def embedded_documents(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 binary = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(c.slice(chunk.first, chunk.rows) for c in batch.columns[:2]),
+                        *(c.slice(chunk.first, chunk.rows) for c in batch.columns[:3]),
                         pa.array(set_keys(value, bounds).view(np.int64)),
                         pa.array(np.diff(bounds) == 0),
                         binary(values),
                         binary(values.astype(np.uint8)),
                     ],
-                    names=["doc_id", "doc", "key", "empty", "embedded", "sketch"],
+                    names=["doc_id", "doc", "hash", "key", "empty", "embedded", "sketch"],
                 )
 
-    return _own(docs).mapInArrow(run, "doc_id long, doc long, key long, empty boolean, embedded binary, sketch binary")
+    return _own(docs).mapInArrow(run, "doc_id long, doc long, hash long, key long, empty boolean, embedded binary, sketch binary")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, kind: str = "<u4") -> np.ndarray:
@@ -297,20 +295,15 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return joined.mapInArrow(sets, kinds + ", shingles binary").dropDuplicates(["key"])
 
 
-def similar_documents(docs: DataFrame, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
-    """``doc_id, class_id, n_copies, n_links`` for each row of documents.
+def _joined(docs: DataFrame, recall: float, size: int) -> tuple[DataFrame, DataFrame]:
+    """The embedded rows, and for each set ``key, row, least, copies, links, label``.
 
-    Rows are linked if the Jaccard similarity of their sets of ``size``-word shingles is 0.8 or
-    more; a class is what links connect, named by its least ``doc_id``. ``n_copies`` counts rows
-    with the same set, the row itself included; ``n_links`` counts rows with other sets linked to
-    it. Pairs at the threshold become candidates with a chance of at least ``recall``; links are
-    verified exactly. Texts of one to four words have one shingle of all their words; texts without
-    words (null, empty, white space) are copies of each other and linked to nothing else. A null
-    ``doc_id`` stays null and names a class only if no row of it has one. Repeated rows are copies.
-    Other columns are not read. Sets are told apart by 64-bit keys.
+    Its first row, least ``doc_id``, numbers of copies and links, and the least key of its class.
     """
     rows = stored(embedded_documents(docs, size), "embedded")
-    copies = rows.groupBy("key").agg(F.min("doc").alias("doc"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    copies = rows.groupBy("key").agg(
+        F.min(F.struct("doc", "hash")).alias("row"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")
+    )
     full = rows.filter("not empty")
 
     edges = None
@@ -330,19 +323,47 @@ def similar_documents(docs: DataFrame, recall: float = RECALL, size: int = SHING
 
     parts = connected_components(edges).withColumnsRenamed({"node": "key", "label": "part"})
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    wanted = copies.select("doc", "key", "copies").join(parts, "key").join(sizes, "part")
+    wanted = copies.select("row.doc", "key", "copies").join(parts, "key").join(sizes, "part")
     blocks = in_blocks(_sets_of(docs, wanted.select("doc", "key", "copies", "part", "n"), size), "part", BLOCK // 2)
     verified = stored(over_groups(blocks, ["part", "x", "y"], _verified, "key long, near long, links long"), "links")
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     classes = connected_components(verified.select(F.col("key").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "key")
 
-    known = copies.join(links, "key", "left").join(classes, "key", "left").select("key", "least", "copies", "links", F.coalesce("label", "key").alias("label"))
-    known = stored(known, "classes")
+    known = copies.join(links, "key", "left").join(classes, "key", "left")
+    links = F.coalesce("links", F.lit(0)).cast("long")
+    return rows, stored(known.select("key", "row", "least", "copies", links.alias("links"), F.coalesce("label", "key").alias("label")), "classes")
+
+
+
+
+def similar_documents(docs: DataFrame, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, class_id, n_copies, n_links`` for each row of documents.
+
+    Rows are linked if the Jaccard similarity of their sets of ``size``-word shingles is 0.8 or
+    more; a class is what links connect, named by its least ``doc_id``. ``n_copies`` counts rows
+    with the same set, the row itself included; ``n_links`` counts rows with other sets linked to
+    it. Pairs at the threshold become candidates with a chance of at least ``recall``; links are
+    verified exactly. Texts of one to four words have one shingle of all their words; texts without
+    words (null, empty, white space) are copies of each other and linked to nothing else. A null
+    ``doc_id`` stays null and names a class only if no row of it has one. Repeated rows are copies.
+    Other columns are not read. Sets are told apart by 64-bit keys.
+    """
+    rows, known = _joined(docs, recall, size)
     named = known.groupBy("label").agg(F.min("least").alias("class_id"))
-    whole = known.join(named, "label").select("key", "class_id", F.col("copies").alias("n_copies"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    whole = known.join(named, "label").select("key", "class_id", F.col("copies").alias("n_copies"), F.col("links").alias("n_links"))
     return rows.select("doc_id", "key").join(whole, "key").select("doc_id", "class_id", "n_copies", "n_links")
 
 
+def first_of_each_class(docs: DataFrame, recall: float = RECALL, size: int = SHINGLE) -> DataFrame:
+    """The first row of each class by ``doc_id`` (ties by a hash of the text), with all columns of documents."""
+    _, known = _joined(docs, recall, size)
+    first = known.groupBy("label").agg(F.min("row").alias("row")).select(F.col("row.doc").alias("_doc"), F.col("row.hash").alias("_hash"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))).withColumn("_hash", F.xxhash64(text))
+    stay = named.join(first.hint("shuffle_hash"), ["_doc", "_hash"], "left_semi")
+    return stay.dropDuplicates(["_doc", "_hash"]).drop("_doc", "_hash")
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and numbers of links of all documents."""
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import op10_byte_bpe
 from .chat import OP3_SQL, op3_chat
 from .chosen_path import op9_chosen_path
+from .line_dedup import op2_line_dedup
 from .packing import op8_packing
 from .pii import op1_pii
 from .piecewise_hash import op5_piecewise_hash
@@ -20,6 +21,7 @@ from .substring_dedup import op4_substring_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_pii,
+        op2_line_dedup,
         op3_chat,
         op4_substring_dedup,
         op5_piecewise_hash,

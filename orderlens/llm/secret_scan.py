@@ -117,12 +117,15 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), m["start"], m["stop"]))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, base, tokens`` for each row: spans of the patterns, and tested tokens elsewhere."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, base, tokens`` and the columns in ``keep`` for each row: spans of the patterns, and tested tokens elsewhere."""
+    kept = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(keep)]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept)
     text = F.col("text")
+    names = [f"kept_{k}" for k in range(len(keep))]
     found = own.select(
         "doc_id",
+        *names,
         matches(text, ASSIGN, F.regexp_like(text, F.lit("(?i)passw|secret|token|api_?key"))).alias("assign"),
         matches(text, ACCESS, F.contains(text, F.lit("AKIA"))).alias("access"),
         matches(text, HEX).alias("hex"),
@@ -154,7 +157,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         return bound(F.struct(m["start"], m["stop"], body.alias("body"), encoding.alias("encoding")), of)
 
     tokens = F.filter(F.transform(free, tested), lambda x: x["encoding"].isNotNull())
-    return found.select("doc_id", "base", tokens.alias("tokens"))
+    return found.select("doc_id", "base", tokens.alias("tokens"), *names)
 
 
 def letter_shares(tokens: DataFrame) -> DataFrame:
@@ -206,9 +209,11 @@ def thresholds(binned: DataFrame) -> DataFrame:
     return row.select("band", least.alias("least")).agg(F.map_from_entries(F.collect_list(F.struct("band", "least"))).alias("least"))
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
+def find_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, base, added`` for each row of documents: arrays of ``struct<kind, rank, start, stop>``.
 
+    Columns in ``keep`` come along as ``kept_0``, ``kept_1`` and so on, and are written too.
+
     Base spans always stay. A tested token is added as ``random`` if the false-discovery rule of its
     band accepts it and the battery does not reject randomness; tokens that touch a base span are not
     tested. Positions are code points, ``stop`` exclusive. A null text counts as empty, a null
@@ -216,7 +221,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     probabilities share their fate, other columns are not read. What was found, without the texts,
     is written once to the shared folder.
     """
-    found = stored(candidates(docs), "secret-candidates")
+    found = stored(candidates(docs, keep), "secret-candidates")
     tokens = found.select(F.explode("tokens").alias("x")).select("x.*")
     shares = letter_shares(tokens).scalar()
     judged = tokens.withColumn("shares", shares).select(
@@ -230,7 +235,30 @@ def find_spans(docs: DataFrame) -> DataFrame:
         return accepted & (F.least(t["p_uniform"], t["p_runs"], t["p_serial"]) >= REJECT / 3)
 
     added = _spans(F.filter("tokens", random), KINDS[3])
-    return found.withColumn("shares", shares).withColumn("least", least).select("doc_id", "base", added.alias("added"))
+    return found.withColumn("shares", shares).withColumn("least", least).select(
+        "doc_id", "base", added.alias("added"), *[f"kept_{k}" for k in range(len(keep))]
+    )
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """Documents with each secret, overlapping ones together, replaced by ``mark``; the columns stay as they are."""
+    names = docs.columns
+    found = find_spans(docs, tuple(names)).withColumnRenamed("doc_id", "_id")
+    renamed = found.withColumnsRenamed({f"kept_{k}": c for k, c in enumerate(names)})
+    spans = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["stop"])))
+    start = F.struct(F.lit(0).alias("to"), F.array().cast("array<string>").alias("parts"))
+    text = F.col("text")
+
+    def taken(a: Column, s: Column) -> Column:
+        part = F.when(s["start"] >= a["to"], F.concat(F.substring(text, a["to"] + 1, s["start"] - a["to"]), F.lit(mark)))
+        parts = F.when(part.isNull(), a["parts"]).otherwise(F.concat(a["parts"], F.array(part)))
+        return F.struct(F.greatest(a["to"], s["stop"]).alias("to"), parts.alias("parts"))
+
+    def whole(a: Column) -> Column:
+        return F.concat(F.array_join(a["parts"], ""), F.substring(text, a["to"] + 1, F.length(text)))
+
+    clean = F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, taken, whole))
+    return renamed.withColumn("text", clean).select(*[f"`{c}`" for c in names])
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
