@@ -47,10 +47,10 @@ def year_month(column: Column | str) -> Column:
 def cv_from_sums(n: Column, total: Column, squares: Column) -> Column:
     """Sample standard deviation over mean, from count, sum and sum of squares.
 
-    With integer measures the numerator is exact, so no rounding depends on row order.
-    Null for fewer than two observations or a zero mean.
+    With integer measures the numerator is exact, so no rounding depends on row order; totals
+    may reach 10^18. Null for fewer than two observations or a zero mean.
     """
-    n, total, squares = (c.cast("decimal(20,0)") for c in (n, total, squares))
+    n, total, squares = (c.cast("decimal(38,0)") for c in (n, total, squares))
     spread = double(n * squares - total * total)
     variance = F.try_divide(spread, double(n) * (double(n) - 1))
     return F.try_divide(F.sqrt(variance), F.try_divide(double(total), double(n)))

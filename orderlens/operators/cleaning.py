@@ -47,11 +47,14 @@ def parse_dates(
 ) -> DataFrame:
     """Text to a zone-less timestamp; text in none of the formats becomes null."""
     text = set(name for name, kind in df.dtypes if kind == "string")
-    parsed = {
-        c: F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in formats]).cast("timestamp_ntz")
-        for c in columns
-        if c in text
-    }
+
+    def parse(column: str) -> Column:
+        # Read as UTC and counted from the epoch, so the session's time zone plays no part.
+        zoned = F.concat(F.col(column), F.lit(" +00:00"))
+        read = F.coalesce(*[F.try_to_timestamp(zoned, F.lit(f"{f} XXX")) for f in formats])
+        return F.timestamp_add("SECOND", F.unix_seconds(read), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+    parsed = {c: parse(c) for c in columns if c in text}
     return df.withColumns(parsed) if parsed else df
 
 

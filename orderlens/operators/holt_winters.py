@@ -11,9 +11,12 @@ shrinking around the best point. All candidates of a grid are evaluated together
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 HOLT_WINTERS = "holt_winters"
 FALLBACK = "moving_average_fallback"
@@ -21,8 +24,16 @@ _OUTPUT = "series_key string, step int, model string, y_hat double"
 _REFINEMENTS = 6
 
 
-def season_length(n: int, freq: str) -> int:
-    """Twelve months; 52 weeks when more than 104 are known, otherwise 13."""
+#: Periods of a season, the same for every series.
+SEASONS = {"month": 12, "week": 52}
+TOO_SHORT = "too_short"
+
+
+def season_by_length(n: int, freq: str) -> int:
+    """Twelve months; 52 weeks when more than 104 are known, otherwise 13.
+
+    Series of one run then differ in their season, so their errors are not comparable.
+    """
     if freq == "month":
         return 12
     return 52 if n > 104 else 13
@@ -96,20 +107,33 @@ def fit_forecast(values: np.ndarray, m: int, horizon: int) -> np.ndarray:
     return path * scale
 
 
-def forecast_series(train: DataFrame, horizon: int, freq: str = "month") -> DataFrame:
+def forecast_series(
+    train: DataFrame,
+    horizon: int,
+    freq: str = "month",
+    season: int | Callable[[int, str], int] | None = None,
+    short_series: str = "null",
+) -> DataFrame:
     """``(series_key, step, model, y_hat)`` for steps 1..horizon of every series.
 
-    A series shorter than two seasons gets the mean of its last four values, and the
-    ``model`` column says so.
+    ``season`` is a number of periods (by default that of ``freq``) or a rule such as
+    ``season_by_length``. A series shorter than two seasons is never left out: with
+    ``short_series="null"`` its forecasts are null and the model is ``too_short``, with
+    ``"moving_average"`` they are the mean of its last four values under a name of their own.
     """
+    if short_series not in ("null", "moving_average"):
+        raise ValueError(f"short_series={short_series!r}")
+    season = SEASONS[freq] if season is None else season
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         values = frame.sort_values("period")["y"].to_numpy(dtype=float)
-        m = season_length(len(values), freq)
+        m = season(len(values), freq) if callable(season) else season
         if len(values) >= 2 * m:
             model, path = HOLT_WINTERS, fit_forecast(values, m, horizon)
-        else:
+        elif short_series == "moving_average":
             model, path = FALLBACK, np.full(horizon, values[-4:].mean())
+        else:
+            model, path = TOO_SHORT, np.full(horizon, np.nan)
         return pd.DataFrame(
             {
                 "series_key": frame["series_key"].iloc[0],
@@ -119,4 +143,5 @@ def forecast_series(train: DataFrame, horizon: int, freq: str = "month") -> Data
             }
         )
 
-    return train.select("series_key", "period", "y").groupBy("series_key").applyInPandas(fit, _OUTPUT)
+    fitted = train.select("series_key", "period", "y").groupBy("series_key").applyInPandas(fit, _OUTPUT)
+    return fitted.withColumn("y_hat", F.nanvl("y_hat", F.lit(None).cast("double")))

@@ -68,18 +68,18 @@ def classifier(name: str, n_rows: int, seed: int = 42, **overrides) -> Estimator
     raise ValueError(f"unknown model {name}")
 
 
-def _spread(vectors: DataFrame) -> DataFrame:
-    """Persisted rows over every core; only input with fewer partitions than cores moves.
+#: Partitions of the training rows. Trees draw their samples by partition, so the number is part
+#: of a model's definition and does not follow the cores or the input's files.
+TRAINING_PARTITIONS = 64
 
-    Large input has far more partitions than cores and is left where it is.
+
+def _laid_out(rows: DataFrame, partitions: int) -> DataFrame:
+    """Rows dealt out by a hash of all their columns, and in the order of hashes within a partition.
+
+    The layout depends on the rows alone; rows with the same hash are equal, so their order is too.
     """
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    if vectors.rdd.getNumPartitions() >= cores:
-        return vectors
-    wider = vectors.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-    wider.count()
-    vectors.unpersist()
-    return wider
+    place = F.xxhash64(*rows.columns)
+    return rows.withColumn("_place", place).repartition(partitions, "_place").sortWithinPartitions("_place").drop("_place")
 
 
 def _stored(model: PipelineModel, name: str) -> PipelineModel:
@@ -104,14 +104,19 @@ def fit_models(
     variant: str = "A",
     seed: int = 42,
     overrides: dict[str, dict] | None = None,
+    partitions: int = TRAINING_PARTITIONS,
 ) -> dict[str, PipelineModel]:
-    """Several classifiers on one shared preprocessing, whose output is persisted meanwhile."""
+    """Several classifiers on one shared preprocessing, whose output is persisted meanwhile.
+
+    The same rows give the same models, however many cores or input files there are; large data
+    takes more ``partitions``.
+    """
     ensure_checkpoint_dir(train.sparkSession)
+    train = _laid_out(train, partitions)
     prepared = ml_preprocess(variant).fit(train)
     vectors = prepared.transform(train).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n_rows = vectors.count()
-        vectors = _spread(vectors)
         fitted = {}
         for name in names:
             model = classifier(name, n_rows, seed, **(overrides or {}).get(name, {})).fit(vectors)
@@ -141,6 +146,26 @@ def ml_batch_score(model: PipelineModel, orders: DataFrame, threshold: float = 0
     )
 
 
+def score_difference(one: PipelineModel, other: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``n, n_different, max_difference`` of two models' scores on the same rows, each row scored by both."""
+    scored = {}
+    for name, model in (("one", one), ("other", other)):
+        added = [c for stage in model.stages for c in _outputs(stage)]
+        base = rows if not scored else scored["one"]
+        scored[name] = model.transform(base).withColumn(f"_{name}", vector_to_array("probability").getItem(1)).drop(*added)
+    gap = F.abs(F.col("_one") - F.col("_other"))
+    return scored["other"].agg(
+        F.count("*").alias("n"), F.count_if(gap > 0).alias("n_different"), F.coalesce(F.max(gap), F.lit(0.0)).alias("max_difference")
+    )
+
+
+def _outputs(stage) -> list[str]:
+    """Columns that a fitted stage adds."""
+    names = ("outputCol", "outputCols", "probabilityCol", "rawPredictionCol", "predictionCol")
+    values = [stage.getOrDefault(n) for n in names if stage.hasParam(n) and stage.isDefined(n)]
+    return [c for v in values for c in (v if isinstance(v, list) else [v])]
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

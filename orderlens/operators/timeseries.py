@@ -148,19 +148,19 @@ def ts_moving_average_forecast(split: DataFrame, n: int = RECENT_PERIODS) -> Dat
     return _constant_forecast(split, recent_mean(train, n), MOVING_AVERAGE)
 
 
-def ts_holt_winters(split: DataFrame, test_size: int, freq: str = "month") -> DataFrame:
-    """Additive Holt-Winters fitted per series on its training part."""
+def ts_holt_winters(split: DataFrame, test_size: int, freq: str = "month", **options) -> DataFrame:
+    """Additive Holt-Winters fitted per series on its training part; ``options`` as in ``forecast_series``."""
     train, test = _parts(split)
-    forecast = forecast_series(train, test_size, freq)
+    forecast = forecast_series(train, test_size, freq, **options)
     return test.join(forecast, ["series_key", "step"]).select("series_key", "period", "model", "y", "y_hat")
 
 
-def ts_refit_forward(series: DataFrame, horizon: int = 6, freq: str = "month") -> DataFrame:
+def ts_refit_forward(series: DataFrame, horizon: int = 6, freq: str = "month", **options) -> DataFrame:
     """Refit on every period of each series and forecast the next ``horizon`` periods."""
     ends = series.groupBy("series_key").agg(F.max("period").alias("last"))
     ahead = F.add_months("last", F.col("step")) if freq == "month" else F.date_add("last", F.col("step") * 7)
     return (
-        forecast_series(series, horizon, freq)
+        forecast_series(series, horizon, freq, **options)
         .join(ends, "series_key")
         .select("series_key", ahead.alias("period"), "model", "y_hat")
     )

@@ -381,7 +381,7 @@ def oracle_sql() -> dict[str, str]:
     q["read_csv_clean"] = on_fact(f"SELECT {stored}, CAST(year(order_date) AS INTEGER) AS order_year FROM orders_fact")
     q["read_parquet_clean"] = on_fact(
         "SELECT CAST(year(order_date) AS INTEGER) AS order_year, count(*) AS n, CAST(sum(sales) AS DOUBLE) AS sales,"
-        " CAST(sum(order_item_quantity) AS BIGINT) AS units FROM orders_fact WHERE year(order_date) >= 1998 GROUP BY 1"
+        " CAST(sum(order_item_quantity) AS BIGINT) AS units FROM orders_fact GROUP BY 1"
     )
     q["write_clean"] = on_fact(
         "SELECT form, CAST(year(order_date) AS INTEGER) AS order_year, count(*) AS n, CAST(sum(sales) AS DOUBLE) AS sales"
@@ -842,7 +842,7 @@ def oracle_sql() -> dict[str, str]:
         *_split_ctes(),
     )
     q["ts_flatline_check"] = on_fact(
-        f"""SELECT series_key, period, y, {r('cv', 4)} AS rolling_cv, COALESCE(n = 8 AND cv < 0.25, FALSE) AS is_flat
+        f"""SELECT series_key, period, y, {r('cv', 4)} AS rolling_cv, COALESCE(n = 8 AND cv < 0.01, FALSE) AS is_flat
         FROM (SELECT *, count(*) OVER w AS n, stddev_samp(y) OVER w / NULLIF(avg(y) OVER w, 0) AS cv FROM series_all
               WINDOW w AS (PARTITION BY series_key ORDER BY period ROWS 7 PRECEDING))""",
         WEEK_GRID.format(key="category_name"),

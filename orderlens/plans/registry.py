@@ -122,7 +122,6 @@ def read_parquet_clean(star: Star) -> DataFrame:
     path = _stored_fact(star)["parquet"]
     return (
         files.read_parquet_clean(star.spark, path, ["order_year", "sales", "order_item_quantity"])
-        .filter(F.col("order_year") >= 1998)
         .groupBy("order_year")
         .agg(F.count("*").alias("n"), F.sum("sales").cast("double").alias("sales"), F.sum("order_item_quantity").alias("units"))
     )
@@ -872,12 +871,17 @@ def ts_actual_vs_forecast(star: Star) -> DataFrame:
 
 @query
 def ts_flatline_check(star: Star) -> DataFrame:
-    return ts.ts_flatline_check(ts.ts_weekly_demand(_units(star, "category_name"), "category_name"), max_cv=0.25)
+    return ts.ts_flatline_check(ts.ts_weekly_demand(_units(star, "category_name"), "category_name"))
 
 
 # --- late-delivery models ----------------------------------------------------------------
 
 
+def _version(star: Star) -> tuple:
+    """The session and the files of the folder's tables with their sizes and times: other data, another key."""
+    return (star.spark.sparkContext.applicationId, star.sf_dir, files.listing(star.spark, star.sf_dir))
+
+
 def _ml_fact(star: Star, variant: str = "A") -> DataFrame:
     derived = {"order_dow_num", "order_month_num"}
     extra = {"A": [], "B": ["order_date", "delivery_status"]}[variant]
@@ -885,16 +889,16 @@ def _ml_fact(star: Star, variant: str = "A") -> DataFrame:
     return star.fact(*dict.fromkeys(c for c in wanted if c in FACT_COLUMNS and c not in derived))
 
 
-_FEATURES: dict[tuple[str, str, str], str] = {}
+_FEATURES: dict[tuple, str] = {}
 
 
 def _feature_store(star: Star, variant: str = "A") -> DataFrame:
-    """Feature table with its split, written once per session and folder.
+    """Feature table with its split, written once per session and version of the folder's tables.
 
     Training and scoring read the fact many times; the stored table spares its joins and
     needs no recomputation when an executor is lost.
     """
-    key = (star.spark.sparkContext.applicationId, star.sf_dir, variant)
+    key = (*_version(star), variant)
     if key not in _FEATURES:
         identified = _ml_fact(star, variant).withColumn("_bucket", ml_data.split_bucket())
         features = ml_data.ml_feature_table(identified, variant, keep=["_bucket"])
@@ -909,12 +913,12 @@ def _part(star: Star, part: str, variant: str = "A") -> DataFrame:
     return _feature_store(star, variant).filter(F.col("split") == part).drop("split")
 
 
-_FITTED: dict[tuple[str, str, str, str], PipelineModel] = {}
+_FITTED: dict[tuple, PipelineModel] = {}
 
 
 def _model(star: Star, name: str, variant: str = "A") -> PipelineModel:
-    """A model fitted once per session, data folder and variant."""
-    key = (star.spark.sparkContext.applicationId, star.sf_dir, variant, name)
+    """A model fitted once per session, version of the data and variant."""
+    key = (*_version(star), variant, name)
     if key not in _FITTED:
         _FITTED[key] = ml_models.fit_model(_part(star, "train", variant), name, variant)
     return _FITTED[key]
@@ -1051,19 +1055,11 @@ def ml_feature_importance(star: Star) -> DataFrame:
 
 @query
 def ml_save_load(star: Star) -> DataFrame:
-    """Largest difference between a model's scores before and after storing it."""
+    """Largest difference between a model's scores before and after storing it, row by row."""
     model = _model(star, ml_models.DECISION_TREE)
     path = scratch_path(star.spark, "model")
     ml_models.save_model(model, path)
-    rows = _part(star, "test")
-    before = ml_models.predict(model, rows, "stored", keep=["label"])
-    after = ml_models.predict(ml_models.load_model(path), rows, "stored", keep=["label"])
-    def summary(df: DataFrame) -> DataFrame:
-        return df.groupBy("model").agg(F.count("*").alias("n"), F.round(F.avg("score"), 9).alias("mean_score"))
-
-    return summary(before).withColumnsRenamed({"n": "n_before", "mean_score": "mean_score_before"}).join(
-        summary(after).withColumnsRenamed({"n": "n_after", "mean_score": "mean_score_after"}), "model"
-    )
+    return ml_models.score_difference(model, ml_models.load_model(path), _part(star, "test"))
 
 
 @query

@@ -19,31 +19,70 @@ def snake_case_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[snake_case(c) for c in df.columns])
 
 
-def read_csv_raw(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Raw order-line CSV: header, Latin-1, declared types; columns renamed to snake case.
+#: Holds a row's text if it does not fit the declared types.
+MALFORMED = "_malformed"
+
+
+def _read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, encoding: str, multi_line: bool, malformed: bool, **options: str
+) -> DataFrame:
+    """CSV with a header, bound by column name.
 
-    The two date columns become ``order_date`` and ``shipping_date``, still text.
+    Quotes inside quoted text are doubled. A declared column that the header lacks is null, one
+    that is not declared is left out, and a file of a folder whose header differs from the first
+    one's raises. ``multi_line`` lets quoted text hold line breaks, at the price that a file is read
+    by one task; without it files are split, and such text ends a row. With ``malformed`` rows that
+    do not fit keep their text in ``_malformed``; their other columns may be null.
     """
-    df = (
-        spark.read.schema(schema or raw_csv_schema())
-        .option("header", True)
-        .option("encoding", "ISO-8859-1")
-        .csv(path)
+    reader = spark.read.options(
+        header=True, encoding=encoding, escape='"', multiLine=multi_line, enforceSchema=False, **options
     )
-    return snake_case_columns(df).withColumnsRenamed(
+    declared = {field.name: field for field in schema}
+    header = reader.csv(path).columns
+    fields = [T.StructField(name, declared[name].dataType if name in declared else T.StringType()) for name in header]
+    if malformed:
+        fields.append(T.StructField(MALFORMED, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", MALFORMED)
+    df = reader.schema(T.StructType(fields)).csv(path)
+    columns = [
+        F.col(f"`{name}`") if name in header else F.lit(None).cast(field.dataType).alias(name)
+        for name, field in declared.items()
+    ]
+    return df.select(*columns, *([MALFORMED] if malformed else []))
+
+
+def read_csv_raw(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    multi_line: bool = True,
+    malformed: bool = False,
+) -> DataFrame:
+    """Raw order-line CSV: header, Latin-1, declared types; columns renamed to snake case.
+
+    The two date columns become ``order_date`` and ``shipping_date``, still text. For the options
+    see ``_read_csv``; ``malformed_rows`` counts what does not fit.
+    """
+    df = _read_csv(spark, path, schema or raw_csv_schema(), "ISO-8859-1", multi_line, malformed)
+    named = df.withColumnsRenamed({c: snake_case(c) for c in df.columns if c != MALFORMED})
+    return named.withColumnsRenamed(
         {"order_date_dateorders": "order_date", "shipping_date_dateorders": "shipping_date"}
     )
 
 
-def read_csv_clean(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A cleaned CSV, with its timestamps parsed while reading."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("timestampFormat", TIMESTAMP_FORMAT)
-        .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-        .csv(path)
-    )
+def malformed_rows(df: DataFrame) -> int:
+    """How many rows of a CSV read with ``malformed`` do not fit the declared types."""
+    # All columns are counted, so all are parsed: with the text column alone there would be nothing to fit.
+    others = [F.count(F.col(f"`{c}`")) for c in df.columns if c != MALFORMED]
+    return df.agg(F.count(MALFORMED), *others).first()[0]
+
+
+def read_csv_clean(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True, malformed: bool = False
+) -> DataFrame:
+    """A cleaned CSV, with its timestamps parsed while reading; options as in ``read_csv_raw``."""
+    formats = {"timestampFormat": TIMESTAMP_FORMAT, "timestampNTZFormat": TIMESTAMP_FORMAT}
+    return _read_csv(spark, path, schema, "UTF-8", multi_line, malformed, **formats)
 
 
 def read_parquet_clean(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -53,10 +92,11 @@ def read_parquet_clean(spark: SparkSession, path: str, columns: Sequence[str] |
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """CSV with header; blanks at the ends of text are kept as they are."""
+    """CSV with header; blanks at the ends of text, quotes and line breaks are kept as they are."""
     (
         df.write.mode("overwrite")
         .option("header", True)
+        .option("escape", '"')
         .option("encoding", encoding)
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
@@ -94,6 +134,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def listing(spark: SparkSession, root: str) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of each file below a folder and its folders, from the file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    files = []
+    while found.hasNext():
+        status = found.next()
+        files.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(files))
+
+
 def fact_view(df: DataFrame, name: str = "orders_fact") -> DataFrame:
     """Register the fact for SQL under a name, with snake-case columns."""
     renamed = snake_case_columns(df)

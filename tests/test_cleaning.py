@@ -124,3 +124,21 @@ def test_late_and_cancelled_flags(spark):
     )
     assert [r["is_late"] for r in cleaning.derive_is_late(df).collect()] == [1, 0, 0]
     assert [r["is_cancelled_or_fraud"] for r in cleaning.flag_cancelled(df).collect()] == [True, True, False]
+
+
+def test_dates_do_not_depend_on_the_session_time_zone(spark):
+    from pyspark.sql import functions
+
+    kept = spark.conf.get("spark.sql.session.timeZone")
+    df = spark.createDataFrame([("3/8/2015 2:30", None), ("11/1/2015 1:30", "x")], "order_date string, shipping_date string")
+    found = set()
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            rows = cleaning.parse_dates(df, ["order_date", "shipping_date"]).select(
+                functions.col("order_date").cast("string"), "shipping_date"
+            )
+            found.add(tuple(map(tuple, rows.collect())))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", kept)
+    assert found == {(("2015-03-08 02:30:00", None), ("2015-11-01 01:30:00", None))}

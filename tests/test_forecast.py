@@ -3,7 +3,7 @@ import datetime
 import numpy as np
 
 from orderlens.operators import timeseries as ts
-from orderlens.operators.holt_winters import FALLBACK, HOLT_WINTERS, fit_forecast, forecast_series
+from orderlens.operators.holt_winters import FALLBACK, HOLT_WINTERS, TOO_SHORT, fit_forecast, forecast_series, season_by_length
 
 
 def month(i):
@@ -42,10 +42,21 @@ def test_beats_naive_on_noisy_seasonal_data(spark):
 
 def test_short_series_falls_back_and_order_of_rows_does_not_matter(spark):
     df = series(spark, short=[1, 2, 3, 4, 5, 6], long=list(seasonal(30)))
-    models = {r["series_key"]: r["model"] for r in forecast_series(df, 2).collect()}
+    mean = {"short_series": "moving_average"}
+    models = {r["series_key"]: r["model"] for r in forecast_series(df, 2, **mean).collect()}
     assert models == {"short": FALLBACK, "long": HOLT_WINTERS}
-    short = [r["y_hat"] for r in forecast_series(df.orderBy(df.period.desc()), 2).filter("series_key = 'short'").collect()]
+    short = [r["y_hat"] for r in forecast_series(df.orderBy(df.period.desc()), 2, **mean).filter("series_key = 'short'").collect()]
     assert short == [4.5, 4.5]
+    plain = {(r["series_key"], r["model"], r["y_hat"] is None) for r in forecast_series(df, 2).collect()}
+    assert plain == {("short", TOO_SHORT, True), ("long", HOLT_WINTERS, False)}
+
+
+def test_season_is_the_same_for_every_series_unless_asked(spark):
+    df = series(spark, a=list(seasonal(30)), b=list(seasonal(120)))
+    models = lambda **more: {r["series_key"]: r["model"] for r in forecast_series(df, 1, "week", **more).collect()}
+    assert models() == {"a": TOO_SHORT, "b": HOLT_WINTERS}
+    assert models(season=season_by_length) == {"a": HOLT_WINTERS, "b": HOLT_WINTERS}
+    assert models(season=12) == {"a": HOLT_WINTERS, "b": HOLT_WINTERS}
 
 
 def test_forward_periods_follow_the_last(spark):

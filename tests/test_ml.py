@@ -101,3 +101,12 @@ def test_confusion_matrix_shows_empty_cells(spark):
 def test_best_model_by_auc(spark):
     good, bad = scored(spark, [(1, 1, 0.9), (0, 0, 0.1)], "good"), scored(spark, [(1, 1, 0.1), (0, 0, 0.9)], "bad")
     assert ml_metrics.ml_best_model(ml_metrics.ml_metrics(good.unionByName(bad))).collect()[0]["best_model"] == "good"
+
+
+def test_models_do_not_depend_on_cores_or_files(spark, parts):
+    def scores(train):
+        model = ml_models.fit_model(train, ml_models.RANDOM_FOREST, numTrees=5, maxDepth=4)
+        rows = ml_models.predict(model, parts[1], "forest").agg({"score": "sum"})
+        return round(rows.first()[0], 9)
+
+    assert scores(parts[0].repartition(2)) == scores(parts[0].repartition(11))

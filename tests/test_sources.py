@@ -36,7 +36,7 @@ def test_csv_round_trip_keeps_blanks_quotes_and_latin1(spark):
     df = spark.createDataFrame([("  a, \"b\" ", "Señor São"), ("x", None)], "t string, u string")
     path = scratch_path(spark, "csv_test")
     files.write_csv(df, path, encoding="ISO-8859-1")
-    back = spark.read.schema(df.schema).option("header", True).option("encoding", "ISO-8859-1").option("escape", "\\").csv(path)
+    back = files.read_csv_raw(spark, path, df.schema)
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
@@ -51,3 +51,42 @@ def test_year_filter_prunes_partitions(spark):
 def test_write_query_results_counts_rows(spark):
     counts = files.write_query_results(spark, {"a": spark.range(3), "b": spark.range(0)}, scratch_path(spark, "results_test"))
     assert {r["query"]: r["n_rows"] for r in counts.collect()} == {"a": 3, "b": 0}
+
+
+RAW = "name string, sales double, quantity int"
+
+
+def _raw(spark, tmp_path, text, **more):
+    (tmp_path / "raw.csv").write_text(text, encoding="latin-1")
+    schema = spark.createDataFrame([], RAW).schema
+    return files.read_csv_raw(spark, str(tmp_path / "raw.csv"), schema, **more)
+
+
+def test_csv_with_doubled_quotes_separators_and_line_breaks(spark, tmp_path):
+    rows = [tuple(r) for r in _raw(spark, tmp_path, 'name,sales,quantity\n"10"" pan, ""deluxe""",299.98,3\n"two\nlines",1.5,2\n').collect()]
+    assert rows == [('10" pan, "deluxe"', 299.98, 3), ("two\nlines", 1.5, 2)]
+
+
+def test_csv_binds_by_name(spark, tmp_path):
+    rows = _raw(spark, tmp_path, "extra,quantity,name\nx,3,pan\n")
+    assert rows.columns == ["name", "sales", "quantity"] and tuple(rows.first()) == ("pan", None, 3)
+
+
+def test_malformed_csv_rows_are_counted(spark, tmp_path):
+    rows = _raw(spark, tmp_path, "name,sales,quantity\npan,1.5,2\npot,many,2\njar,2.5,x\n", malformed=True)
+    assert files.malformed_rows(rows) == 2
+    assert rows.filter("_malformed is null").select("name").collect()[0][0] == "pan"
+
+
+def test_clean_csv_keeps_line_breaks(spark):
+    df = spark.createDataFrame([("a\nb", 1), ('say "x"\r\n', 2), ("plain", 3)], "t string, n int")
+    path = scratch_path(spark, "clean_lines")
+    files.write_csv(df, path)
+    assert sorted(map(tuple, files.read_csv_clean(spark, path, df.schema).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_listing_changes_with_the_files(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    before = files.listing(spark, str(tmp_path))
+    spark.range(5).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    assert before and before != files.listing(spark, str(tmp_path))

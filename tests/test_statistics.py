@@ -121,3 +121,25 @@ def test_mean_interval(spark):
     half = 2.776445 * math.sqrt(2.5) / math.sqrt(5)
     assert row["n"] == 5 and row["ci_lower"] == pytest.approx(3 - half, abs=1e-4)
     assert row["ci_upper"] == pytest.approx(3 + half, abs=1e-4)
+
+
+def test_tails_meet_their_limits_with_many_degrees_of_freedom():
+    from orderlens.functions import tails
+
+    for dof in (1e6, 5e6, 2e7, 6e9, 6e11, 1e13):
+        assert abs(tails.t_quantile(0.975, dof) - 1.959963985) < 3e-6
+        assert abs(tails.f_tail(1.0, 3, dof) - 0.391625176) < 1e-6
+        assert abs(tails.f_tail(4.0, 1, dof) - 2 * tails.t_tail(2.0, dof)) < 1e-8
+    for dof in (0.99e7, 1.01e7):
+        assert abs(tails.t_tail(2.5, dof) - 0.006209665) < 1e-8
+
+
+def test_variability_of_very_large_totals(spark):
+    from pyspark.sql import functions as F
+
+    from orderlens.functions.columns import cv_from_sums
+
+    units = [2 * 10**13, 10**13]
+    row = spark.createDataFrame([(2, str(sum(units)), str(sum(u * u for u in units)))], "n long, t string, s string")
+    value = row.select(cv_from_sums(F.col("n"), F.col("t"), F.col("s"))).first()[0]
+    assert abs(value - (0.5**0.5 * 10**13) / (1.5 * 10**13)) < 1e-12
