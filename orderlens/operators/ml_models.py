@@ -70,7 +70,7 @@ def classifier(name: str, n_rows: int, seed: int = 42, **overrides) -> Estimator
 
 #: Partitions of the training rows. Trees draw their samples by partition, so the number is part
 #: of a model's definition and does not follow the cores or the input's files.
-TRAINING_PARTITIONS = 64
+TRAINING_PARTITIONS = 16
 
 
 def _laid_out(rows: DataFrame, partitions: int) -> DataFrame:

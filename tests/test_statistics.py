@@ -143,3 +143,32 @@ def test_variability_of_very_large_totals(spark):
     row = spark.createDataFrame([(2, str(sum(units)), str(sum(u * u for u in units)))], "n long, t string, s string")
     value = row.select(cv_from_sums(F.col("n"), F.col("t"), F.col("s"))).first()[0]
     assert abs(value - (0.5**0.5 * 10**13) / (1.5 * 10**13)) < 1e-12
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e12])
+def test_running_sums_and_quantiles_at_any_scale(spark, scale):
+    from orderlens.functions.ordered import column_quantiles, running_sums
+
+    pick = random.Random(4)
+    values = {pick.uniform(-1, 1) * scale for _ in range(300)} | {(0.7 + k * 1e-9) * scale for k in range(300)} | {0.0, scale, -scale}
+    rows = [(v, pick.randrange(1, 5)) for v in values]
+    frame = spark.createDataFrame(rows, "v double, n long")
+    got = {r.v: r.n_before for r in running_sums(frame, "v", ["n"]).collect()}
+    total = 0
+    for v, n in sorted(rows):
+        assert got[v] == total
+        total += n
+    found = column_quantiles(frame, ["v"], [0.1, 0.5, 0.9]).first().quantiles
+    np.testing.assert_allclose(found, np.quantile([v for v, _ in rows], [0.1, 0.5, 0.9]), rtol=1e-12)
+
+
+def test_intervals_are_narrow_everywhere(spark):
+    from pyspark.sql import functions as F
+
+    from orderlens.functions.ordered import interval
+
+    for scale in (1e-300, 1e-9, 1.0, 1e12):
+        values = [scale * (1 + k / 5000) for k in range(5001)]
+        rows = spark.createDataFrame([(v,) for v in [-v for v in reversed(values)] + [0.0] + values], "v double")
+        places = [r[0] for r in rows.select(interval(F.col("v"))).collect()]
+        assert places == sorted(places) and len(set(places)) > 9000
