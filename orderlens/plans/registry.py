@@ -61,7 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bound(function: Callable[[Star], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_skew_handling(spark)
-            return function(Star(spark, sf_dir.rstrip("/")))
+            return function(Star(spark, sf_dir.rstrip("/"), stored=True))
 
         return run
 

@@ -9,11 +9,15 @@ joins the others, where adaptive execution splits skewed partitions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+from .files import listing
+
 SALES = "CAST(l_extendedprice AS DECIMAL(18,2))"
 QUANTITY = "CAST(l_quantity AS BIGINT)"
 DISCOUNT = f"CAST({SALES} * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4))"
@@ -161,12 +165,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, sf_dir: str, lines: DataFrame, tables: set[str]) -> DataFrame:
+    """Lines with the tables they need; what hangs on the order is joined to orders first, so lines move once."""
+
+    def add(rows: DataFrame, name: str, other: DataFrame) -> DataFrame:
+        left, right = _JOIN_KEYS[name]
+        return rows.join(other, rows[left] == other[right], "left")
+
     result = lines
-    for name in _JOIN_ORDER:
-        if name in tables:
-            left, right = _JOIN_KEYS[name]
-            other = read_table(spark, sf_dir, name)
-            result = result.join(other, result[left] == other[right], "left")
+    if "orders" in tables:
+        orders = read_table(spark, sf_dir, "orders")
+        for name in _JOIN_ORDER[1:4]:
+            if name in tables:
+                orders = add(orders, name, read_table(spark, sf_dir, name))
+        result = add(result, "orders", orders)
+    if "part" in tables:
+        result = add(result, "part", read_table(spark, sf_dir, "part"))
     return result
 
 
@@ -187,7 +200,8 @@ def orders_fact(
     if distinct:
         text = " ".join(FACT_COLUMNS[name][1] for name in wanted)
         keys = {_JOIN_KEYS[table][0] for table in tables}
-        lines = lines.select(*[c for c in _LINE_COLUMNS if c in text or c in keys]).distinct()
+        used = {c for c in _LINE_COLUMNS if re.search(rf"\b{c}\b", text)}
+        lines = lines.select(*[c for c in _LINE_COLUMNS if c in used | keys]).distinct()
     rows = _joined(spark, sf_dir, lines, tables).select(
         *[F.expr(FACT_COLUMNS[name][1]).alias(name) for name in wanted]
     )
@@ -206,15 +220,41 @@ def raw_orders(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
     )
 
 
+# Where the joined fact of a session and data version is stored.
+_FACTS: dict[tuple, str] = {}
+
+
+def stored_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole fact, joined and written once per session and version of the folder's tables.
+
+    The lines of an order lie together, in files of the advisory size. Readers prune columns and
+    make no join.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, listing(spark, sf_dir))
+    if key not in _FACTS:
+        path = scratch_path(spark, "fact")
+        orders_fact(spark, sf_dir).hint("rebalance", F.col("order_id")).write.parquet(path)
+        _FACTS[key] = path
+    return spark.read.parquet(_FACTS[key])
+
+
 class Star:
-    """A data folder and session; ``star.fact("sales", "order_region")`` reads what is named."""
+    """A data folder and session; ``star.fact("sales", "order_region")`` reads what is named.
+
+    With ``stored`` the fact is joined and written once, then only read; otherwise each call plans
+    the joins its columns need.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.stored = stored
 
     def fact(self, *columns: str, distinct: bool = False) -> DataFrame:
-        return orders_fact(self.spark, self.sf_dir, columns or None, distinct)
+        if not self.stored:
+            return orders_fact(self.spark, self.sf_dir, columns or None, distinct)
+        rows = stored_fact(self.spark, self.sf_dir).select(*(columns or FACT_COLUMNS))
+        return rows.distinct() if distinct else rows
 
     def raw(self, *columns: str) -> DataFrame:
         return raw_orders(self.spark, self.sf_dir, columns or None)
