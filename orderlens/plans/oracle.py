@@ -884,6 +884,16 @@ def oracle_sql() -> dict[str, str]:
         "SELECT CASE WHEN bucket < 20 THEN 'test' ELSE 'train' END AS split, late_delivery_risk, count(*) AS n FROM bucketed GROUP BY 1, 2",
         BUCKETED,
     )
+    q["ml_save_load"] = on_fact(
+        "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different, CAST(0 AS DOUBLE) AS max_difference FROM bucketed WHERE bucket < 20",
+        BUCKETED,
+    )
+    q["ml_report_support"] = on_fact(
+        """SELECT 'decision_tree' AS model, class, CAST(CASE class WHEN '0' THEN negatives WHEN '1' THEN n - negatives ELSE n END AS BIGINT) AS support
+        FROM (SELECT count(*) AS n, count(*) FILTER (WHERE late_delivery_risk = 0) AS negatives FROM bucketed WHERE bucket < 20) AS t,
+        (VALUES ('0'), ('1'), ('macro avg'), ('weighted avg')) AS c(class)""",
+        BUCKETED,
+    )
     q["ml_majority_baseline"] = on_fact(
         f"SELECT 'majority_class' AS model, {', '.join(f'{value} AS {name!r}'.replace(chr(39), chr(34)) for name, value in METRICS)} FROM conf",
         BUCKETED,

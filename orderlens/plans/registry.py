@@ -1000,10 +1000,73 @@ def ml_logistic_regression_alt(star: Star) -> DataFrame:
     return ml_metrics.ml_metrics(_predictions(star, ml_models.LOGISTIC_REGRESSION, "B"))
 
 
+@query
+def ml_decision_tree_alt(star: Star) -> DataFrame:
+    return ml_metrics.ml_metrics(_predictions(star, ml_models.DECISION_TREE, "B"))
+
+
+@query
+def ml_random_forest_alt(star: Star) -> DataFrame:
+    return ml_metrics.ml_metrics(_predictions(star, ml_models.RANDOM_FOREST, "B"))
+
+
+@query
+def ml_gradient_boosting_alt(star: Star) -> DataFrame:
+    return ml_metrics.ml_metrics(_predictions(star, ml_models.GRADIENT_BOOSTING, "B"))
+
+
+def _all_predictions(star: Star, variant: str = "A") -> DataFrame:
+    return reduce(DataFrame.unionByName, [_predictions(star, name, variant) for name in ml_models.MODELS])
+
+
 @query
 def ml_best_model(star: Star) -> DataFrame:
-    frames = [ml_metrics.ml_metrics(_predictions(star, name)) for name in ml_models.MODELS]
-    return ml_metrics.ml_best_model(reduce(DataFrame.unionByName, frames))
+    return ml_metrics.ml_best_model(ml_metrics.ml_metrics(_all_predictions(star)))
+
+
+@query
+def ml_best_model_alt(star: Star) -> DataFrame:
+    return ml_metrics.ml_best_model(ml_metrics.ml_metrics(_all_predictions(star, "B")))
+
+
+@query
+def ml_confusion_matrix_models(star: Star) -> DataFrame:
+    """The four cells of every trained model."""
+    return ml_metrics.ml_confusion_matrix(_all_predictions(star))
+
+
+@query
+def ml_confusion_matrix_models_alt(star: Star) -> DataFrame:
+    return ml_metrics.ml_confusion_matrix(_all_predictions(star, "B"))
+
+
+@query
+def ml_roc_curve_models(star: Star) -> DataFrame:
+    """The curve of every trained model."""
+    return ml_metrics.ml_roc_curve(_all_predictions(star))
+
+
+@query
+def ml_roc_curve_models_alt(star: Star) -> DataFrame:
+    return ml_metrics.ml_roc_curve(_all_predictions(star, "B"))
+
+
+@query
+def ml_classification_report_models(star: Star) -> DataFrame:
+    """Per-class quality of every trained model."""
+    return ml_metrics.ml_classification_report(_all_predictions(star))
+
+
+@query
+def ml_classification_report_models_alt(star: Star) -> DataFrame:
+    return ml_metrics.ml_classification_report(_all_predictions(star, "B"))
+
+
+@query
+def ml_report_support(star: Star) -> DataFrame:
+    """What a report holds whatever the fit: model, class and support, from the decision tree's predictions."""
+    report = ml_metrics.ml_classification_report(_predictions(star, ml_models.DECISION_TREE))
+    return report.select("model", "class", "support")
 
 
 @query
@@ -1053,6 +1116,11 @@ def ml_feature_importance(star: Star) -> DataFrame:
     return ml_models.ml_feature_importance(star.spark, _model(star, ml_models.RANDOM_FOREST))
 
 
+@query
+def ml_feature_importance_alt(star: Star) -> DataFrame:
+    return ml_models.ml_feature_importance(star.spark, _model(star, ml_models.RANDOM_FOREST, "B"), "B")
+
+
 @query
 def ml_save_load(star: Star) -> DataFrame:
     """Largest difference between a model's scores before and after storing it, row by row."""

@@ -9,6 +9,7 @@ SF_DIR = "/root/testdata/sf0.001"
 QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
 # Training all models takes minutes; their parts are tested in test_ml.py.
 SLOW = {"ml_random_forest", "ml_gradient_boosting", "ml_best_model", "ml_feature_importance"}
+SLOW |= {f"{name}_alt" for name in SLOW} | {name for name in QUERIES if name.endswith(("_models", "_models_alt"))}
 
 
 @pytest.fixture(scope="module")
