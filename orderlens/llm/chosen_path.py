@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ..sources.files import stored
 from .components import connected_components
 from .groups import in_blocks, over_groups, pairs, roots
-from .words import Chunk, Words, chunks, mix, text_column, window_names, words_of
+from .words import Chunk, Words, chunks, mix, slices, text_column, window_names, words_of
 
 SHINGLE = 5
 #: Links need a Jaccard similarity of NEAR / OF.
@@ -203,7 +203,7 @@ def _met(nodes: DataFrame) -> DataFrame:
 
 
 def _candidates(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-    """Edges to the first one of each component of similar sketches."""
+    """Edges to the least key of each component of similar sketches, so different nodes give the same edges."""
     key = rows.column("key").to_numpy()
     sketch = _matrix(rows.column("sketch"), "u1")
     found = []
@@ -271,13 +271,13 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in slices(batches):
             texts = [pack(t.encode()) for t in text_column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc", "packed"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches):
             place = batch.schema.get_field_index("packed")
             texts = pa.array([unpack(t) for t in batch.column(place).to_pylist()], pa.large_binary())
             for chunk in chunks(texts):
@@ -314,7 +314,7 @@ def _joined(docs: DataFrame, recall: float, size: int) -> tuple[DataFrame, DataF
         last = level == MORE_LEVELS
         small = nodes if last else nodes.filter(F.col("n") <= BLOCK)
         compared = in_blocks(small, "node", BLOCK).join(sets.select("key", "sketch"), "key")
-        found = over_groups(compared, ["node", "x", "y"], _candidates, "a long, b long").distinct()
+        found = over_groups(compared, ["node", "x", "y"], _candidates, "a long, b long", ("key",)).distinct()
         edges = found if edges is None else edges.union(found)
         crowded = nodes.filter(F.col("n") > BLOCK)
         if last or crowded.isEmpty():

@@ -1,4 +1,4 @@
-"""Connected components of a graph of 64-bit keys, by rounds of joins."""
+"""Connected components of a graph of 64-bit keys, by contraction."""
 
 from __future__ import annotations
 
@@ -9,24 +9,32 @@ from ..sources.files import stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``node, label`` for the nodes of ``edges`` (``a, b``, either way round): the least node each one reaches.
+    """``node, label`` for the nodes of ``edges`` (``a, b``, either way round): one node of its component.
 
-    In each round a node takes the least label among its own and its neighbours', and then that
-    node's label, so long chains halve; it ends when no label changes. Labels are written to the
-    shared folder after each round, so a lost executor costs one round. A hub's neighbours are
-    never gathered: minima are taken before the shuffle.
+    In each round a node points to the one with the least hash among itself and its neighbours, and
+    the edges are redrawn between what their ends point to. As the order of hashes is random, the
+    graph shrinks by a constant factor a round, so all rounds together handle about twice its rows;
+    the pointers are put together from the last round back. Each round is written to the shared
+    folder, so a lost executor costs one round. A hub's neighbours are never gathered: minima are
+    taken before the shuffle.
     """
-    both = stored(
-        edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().toDF("node", "near"), "edges"
-    )
-    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("label").alias("best"))
-        taken = labels.join(near, "node").select("node", "label", F.least("label", "best").alias("best"))
-        # The label's own label: a label is a node, so this finds one for each.
-        jump = labels.select(F.col("node").alias("best"), F.col("label").alias("next"))
-        moved = taken.join(jump, "best").select("node", F.col("label").alias("old"), F.least("best", "next").alias("label"))
-        done = stored(moved, "labels")
-        labels = done.select("node", "label")
-        if done.filter("old <> label").isEmpty():
-            return labels
+    left = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    rounds = []
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a")).toDF("node", "near")
+        place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("k"))
+        least = both.groupBy("node").agg(F.min(place("near")).alias("near"))
+        to = stored(least.select("node", F.least(place("node"), F.col("near"))["k"].alias("to")), "pointers")
+        ends = left.join(to.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        ends = ends.join(to.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
+        drawn = ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        left = stored(drawn.filter("a <> b").distinct(), "edges")
+        rounds.append(to)
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds[-1].withColumnRenamed("to", "label")
+    for to in reversed(rounds[:-1]):
+        # What a node points to has a label from later rounds, or is where its component ended.
+        later = labels.withColumnRenamed("node", "to")
+        labels = stored(to.join(later, "to", "left").select("node", F.coalesce("label", "to").alias("label")), "labels")
+    return labels

@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 _PAIRS = 1 << 19
 
 
-def over_groups(frame: DataFrame, groups: list[str], use: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None], kinds: str) -> DataFrame:
+def over_groups(
+    frame: DataFrame,
+    groups: list[str],
+    use: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None],
+    kinds: str,
+    order: tuple[str, ...] = (),
+) -> DataFrame:
     """``use(rows, starts)`` over whole groups: ``starts`` is where each begins in ``rows``, with the end at last.
 
-    Rows of a group lie together in a sorted partition. A task holds one batch and the group it ends
-    in, so groups must be bounded (see ``in_blocks``). Group columns hold no nulls.
+    Rows of a group lie together in a sorted partition, by ``order``. A task holds one batch and the
+    group it ends in, so groups must be bounded (see ``in_blocks``). Group columns hold no nulls.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +44,7 @@ def over_groups(frame: DataFrame, groups: list[str], use: Callable[[pa.Table, np
         if held is not None and (made := use(held, np.array([0, held.num_rows]))) is not None:
             yield made
 
-    return frame.repartition(*groups).sortWithinPartitions(*groups).mapInArrow(run, kinds)
+    return frame.repartition(*groups).sortWithinPartitions(*groups, *order).mapInArrow(run, kinds)
 
 
 def in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
