@@ -39,6 +39,7 @@ from ..schema import (
 )
 from ..session import ensure_skew_handling, scratch_path
 from ..sources import files
+from ..sources import star as star_module
 from ..sources.star import FACT_COLUMNS, RAW_COLUMNS, Star
 
 # Test-data parameters: the last month is partial.
@@ -916,6 +917,14 @@ def _part(star: Star, part: str, variant: str = "A") -> DataFrame:
 _FITTED: dict[tuple, PipelineModel] = {}
 
 
+def forget(fact: bool = True) -> None:
+    """Drop what queries share within a session: fitted models, feature tables and, with ``fact``, the stored fact."""
+    _FITTED.clear()
+    _FEATURES.clear()
+    if fact:
+        star_module._FACTS.clear()
+
+
 def _model(star: Star, name: str, variant: str = "A") -> PipelineModel:
     """A model fitted once per session, version of the data and variant."""
     key = (*_version(star), variant, name)

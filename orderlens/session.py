@@ -46,13 +46,16 @@ _OWN_FOLDERS: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Folder for written intermediate tables and checkpoints.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``. Only when that is unset,
-    and only on a single machine, is a temporary folder used instead.
+    A cluster names a shared folder in ``spark.checkpoint.dir``, or has set a checkpoint folder on
+    the context. Only without either, and only on a single machine, is a temporary folder used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _OWN_FOLDERS:

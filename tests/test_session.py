@@ -9,9 +9,14 @@ class Conf(dict):
 
 
 class FakeContext:
+    folder = None
+
     def __init__(self, master):
         self.master, self.applicationId = master, f"app-{master}"
 
+    def getCheckpointDir(self):
+        return self.folder
+
 
 class FakeSession:
     def __init__(self, master, **conf):
@@ -32,6 +37,12 @@ def test_temporary_folder_only_on_one_machine():
         scratch_root(FakeSession("yarn"))
 
 
+def test_checkpoint_folder_of_the_context_is_used():
+    session = FakeSession("yarn")
+    session.sparkContext.folder = "hdfs:///checkpoints/"
+    assert scratch_root(session) == "hdfs:///checkpoints"
+
+
 def test_skew_handling_is_switched_on(spark):
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
     ensure_skew_handling(spark)
