@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import Chunk, Words, chunks, covered, mix, text_column, window_names, window_starts, words_of
+from .words import Chunk, Words, chunks, covered, mix, slices, text_column, window_names, window_starts, words_of
 
 WINDOW = 13
 #: Words on either side of a symbol that its high-level name takes in.
@@ -153,7 +153,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in slices(batches):
             packed = [pack(t.encode()) for t in text_column(batch, "text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "doc", "packed"])
 
@@ -165,7 +165,7 @@ def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, Words, list[np.nda
     unpack = zstandard.ZstdDecompressor().decompress
     texts = pa.array([unpack(x) for x in batch.column("packed").to_pylist()], pa.large_binary())
     names = batch.column("names")
-    offsets = names.offsets.to_numpy()
+    offsets = names.offsets.to_numpy()  # of the slice, into all values
     values = names.values.to_numpy(zero_copy_only=False).view(np.uint64)
     valid = names.is_valid().to_numpy(zero_copy_only=False)
     for chunk in chunks(texts):
@@ -207,14 +207,15 @@ def windows_of_documents(joined: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
             parts = []
-            for chunk, words, names in _unpacked(batch):
-                start, symbol = window_symbols(words, window)
-                bounds = np.searchsorted(start, words.bounds)
-                hit = _among(symbol, bounds, names)
-                full = window_names(words.name, window)
-                parts.append((full[start[hit]], ids[chunk.first + words.row[start[hit]]]))
+            for part in slices(iter([batch])):
+                ids = part.column("doc").to_numpy()
+                for chunk, words, names in _unpacked(part):
+                    start, symbol = window_symbols(words, window)
+                    bounds = np.searchsorted(start, words.bounds)
+                    hit = _among(symbol, bounds, names)
+                    full = window_names(words.name, window)
+                    parts.append((full[start[hit]], ids[chunk.first + words.row[start[hit]]]))
             if parts:
                 yield _first_docs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), False)
 
@@ -239,7 +240,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * keep_text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for chunk, words, names in _unpacked(batch):
                 gone = np.zeros(len(words.name), dtype=bool)
                 if any(map(len, names)):

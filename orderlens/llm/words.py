@@ -1,7 +1,7 @@
 """Words of Arrow text columns as numpy arrays: boundaries, 64-bit names, names of word windows.
 
 A word is a run of bytes other than blank, tab, line feed, vertical tab, form feed and carriage
-return. Texts are handled in chunks of a few megabytes, a longer text alone, so memory follows the
+return. Texts are handled in chunks of half a megabyte, a longer text alone, so memory follows the
 longest text and never the batch. Names are polynomial fingerprints modulo 2**64, mixed; two
 different words or windows share one with a chance of about 2**-64 a pair.
 """
@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled together.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -79,6 +79,13 @@ def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return column
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some rows, for work that copies texts."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """The texts in order, several to a chunk of about ``size`` bytes."""
     n = len(texts)
