@@ -3,9 +3,13 @@
 Long tokens that are not covered by a pattern are read as symbols of the smallest encoding that holds
 them (hex, base32, letters, letters and digits, base64). Two questions are asked of each:
 
-* Is it as uneven as ordinary long words? Its chi-squared statistic of uniformity over the alphabet
-  is compared with what letters drawn as in ordinary words would give at its length; a small
-  probability speaks for a secret. The letter shares come from all purely alphabetic long tokens.
+* Is it less likely as an ordinary token than as a random one of its encoding? Ordinary tokens follow
+  a chain: the class of a symbol (lower, upper, digit, sign) depends on the class before it, and a
+  letter on the letter before it. Changes of class are rare in words, identifiers, paths and dates and
+  common in random hex, base32, base36, base62 and base64; letter pairs tell random letters apart. The
+  ratio of the two likelihoods, times the number of encodings, bounds the probability that an ordinary
+  token looks as random as this one; a small one speaks for a secret. The letter pairs are counted in
+  all distinct purely alphabetic long tokens.
 * Does it pass as random? Uniformity, runs about the middle of the alphabet, and serial correlation
   must not reject it, each at a third of ``REJECT``.
 
@@ -16,6 +20,8 @@ size. Spark functions only; texts are read once and never shuffled.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +58,15 @@ ENCODINGS = {
     "base64_url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
     "base64_any": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
-#: Sums of squared and cubed letter shares before any ordinary word is seen, and their weight in letters.
-START_SQUARES, START_CUBES, START_WEIGHT = 0.066, 0.0055, 100.0
+#: Symbols of tokens in the order of their classes.
+SYMBOLS = ENCODINGS["lower"] + ENCODINGS["upper"] + "0123456789" + "+/-_"
+#: Chances of the class of an ordinary token's next symbol (lower, upper, digit, sign) after the start and each class.
+CLASSES = ((0.60, 0.20, 0.15, 0.05), (0.93, 0.03, 0.01, 0.03), (0.35, 0.60, 0.02, 0.03), (0.04, 0.04, 0.80, 0.12), (0.60, 0.15, 0.20, 0.05))
+#: Letter shares, a to z in percent, before any ordinary word is seen, and the part of them that is even.
+START_LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.07)
+START_EVEN = 0.2
+#: Weight of the start in letters, and that of the letter shares among the letters after one letter.
+START_WEIGHT, SHARES_WEIGHT = 100.0, 26.0
 
 
 def tail(z: Column) -> Column:
@@ -113,6 +126,26 @@ def _battery(body: Column, encoding: Column) -> Column:
     return F.when(encoding.isNotNull(), bound(F.struct(codes.alias("codes"), F.length(alphabet).alias("size")), of_codes))
 
 
+def _steps(body: Column) -> Column:
+    """``classes``, the logarithm of the chance of an ordinary token's classes, digits and signs, and ``pairs``.
+
+    A pair is 27 times the letter before plus the letter, with letters from 1 and 0 for anything else.
+    """
+    cost = {3: math.log(10), 4: math.log(4)}
+    table = [math.log(p) - cost.get(k, 0.0) for row in CLASSES for k, p in enumerate(row, 1)]
+
+    def of_codes(codes: Column) -> Column:
+        before = F.concat(F.array(F.lit(-1)), F.slice(codes, F.lit(1), F.size(codes) - 1))
+        group = lambda c: F.when(c < 0, 0).when(c < 26, 1).when(c < 52, 2).when(c < 62, 3).otherwise(4)
+        letter = lambda c: F.when((c < 0) | (c >= 52), 0).when(c < 26, c + 1).otherwise(c - 25)
+        classes = F.zip_with(before, codes, lambda a, b: F.get(F.lit(table), group(a) * 4 + group(b) - 1))
+        pairs = F.zip_with(before, codes, lambda a, b: (letter(a) * 27 + letter(b)).cast("short"))
+        return F.struct(F.aggregate(classes, F.lit(0.0), lambda a, x: a + x).alias("classes"), pairs.alias("pairs"))
+
+    symbols = F.filter(F.split(body, "(?!^)"), lambda c: c != "")
+    return bound(F.transform(symbols, lambda c: F.call_function("instr", F.lit(SYMBOLS), c) - 1), of_codes)
+
+
 def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), m["start"], m["stop"]))
 
@@ -142,31 +175,50 @@ def candidates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     def tested(m: Column) -> Column:
         def of(x: Column) -> Column:
-            plain = x["body"].rlike("^[A-Z]?[a-z]+$|^[A-Z]+$")
-            return F.struct(
-                x["start"],
-                x["stop"],
-                x["encoding"],
-                F.when(plain, F.lower(x["body"])).alias("word"),
-                _battery(F.when(x["encoding"].isin("lower", "upper") | plain, F.lower(x["body"])).otherwise(x["body"]), x["encoding"]).alias("t"),
+            read = F.when(x["plain"], F.lower(x["body"])).otherwise(x["body"])
+            return F.when(
+                x["encoding"].isNotNull(),
+                F.struct(x["start"], x["stop"], x["encoding"], x["plain"], _steps(read).alias("steps"), _battery(read, x["encoding"]).alias("t")),
             )
 
         body = F.regexp_replace(m["found"], "=+$", "")
         plain = body.rlike("^[A-Z]?[a-z]+$|^[A-Z]+$")
         encoding = F.when(plain, F.lit("lower")).otherwise(_encoding(body))
-        return bound(F.struct(m["start"], m["stop"], body.alias("body"), encoding.alias("encoding")), of)
+        return bound(F.struct(m["start"], m["stop"], body.alias("body"), plain.alias("plain"), encoding.alias("encoding")), of)
 
-    tokens = F.filter(F.transform(free, tested), lambda x: x["encoding"].isNotNull())
+    tokens = F.filter(F.transform(free, tested), lambda x: x.isNotNull())
     return found.select("doc_id", "base", tokens.alias("tokens"), *names)
 
 
-def letter_shares(tokens: DataFrame) -> DataFrame:
-    """One row: sums of squared and of cubed shares of letters in ordinary long words."""
-    letters = tokens.filter("word is not null").select(F.explode(F.split("word", "(?!^)")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
-    sums = letters.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("all"), F.array_sort(F.collect_list("n")).alias("n"))
-    power = lambda k: F.aggregate("n", F.lit(0.0), lambda a, x: a + F.pow(x / F.col("all"), F.lit(float(k))))
-    weigh = lambda seen, start: (seen * F.col("all") + F.lit(start * START_WEIGHT)) / (F.col("all") + START_WEIGHT)
-    return sums.select(F.struct(weigh(power(2), START_SQUARES).alias("squares"), weigh(power(3), START_CUBES).alias("cubes")).alias("shares"))
+def letter_chances(tokens: DataFrame) -> list[float]:
+    """For each pair of ``_steps`` the logarithm of the letter's chance in ordinary words; 0 where it is no letter.
+
+    Every distinct word counts once, so a copied secret does not teach its own pairs. At most 702
+    counts come to the driver.
+    """
+    words = tokens.filter("plain").select("steps.pairs").distinct()
+    counts = [0] * (27 * 27)
+    for r in words.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r.pair] = r.n
+    start = [(1 - START_EVEN) * x / sum(START_LETTERS) + START_EVEN / 26 for x in START_LETTERS]
+    seen = [sum(counts[b::27]) for b in range(1, 27)]
+    shares = [(n + START_WEIGHT * p) / (sum(seen) + START_WEIGHT) for n, p in zip(seen, start, strict=True)]
+    out = [0.0] * (27 * 27)
+    for a in range(27):
+        own = counts[27 * a + 1 : 27 * a + 27]
+        for b, (n, p) in enumerate(zip(own, shares, strict=True), 1):
+            out[27 * a + b] = math.log((n + SHARES_WEIGHT * p) / (sum(own) + SHARES_WEIGHT))
+    return out
+
+
+def random_evidence(x: Column, letters: Column) -> Column:
+    """At most this share of ordinary tokens is as much likelier as a random token of some encoding.
+
+    Under a model Q the chance that P(x) / Q(x) exceeds r is at most 1 / r for any other model P; the
+    encoding is chosen by the token, so each has its part of the bound.
+    """
+    ordinary = x["steps"]["classes"] + F.aggregate(x["steps"]["pairs"], F.lit(0.0), lambda a, k: a + F.get(letters, k.cast("int")))
+    return F.exp(F.least(F.lit(0.0), ordinary + x["t"]["n"] * F.log(x["t"]["size"].cast("double")) + math.log(len(ENCODINGS))))
 
 
 def ordinary_probability(t: Column, shares: Column) -> Column:
@@ -174,7 +226,8 @@ def ordinary_probability(t: Column, shares: Column) -> Column:
 
     The chi-squared statistic of n such letters over ``size`` cells has mean
     ``size (1 - s2 + n s2) - n`` and a variance that grows with n, with s2 and s3 the sums of squared
-    and cubed shares; a normal approximation gives the lower tail.
+    and cubed shares; a normal approximation gives the lower tail. It cannot tell random hex from
+    letters, so it takes no part in the rule.
     """
     n, size, s2, s3 = t["n"], t["size"], shares["squares"], shares["cubes"]
     mean = size * (1 + (n - 1) * s2) - n
@@ -223,19 +276,17 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """
     found = stored(candidates(docs, keep), "secret-candidates")
     tokens = found.select(F.explode("tokens").alias("x")).select("x.*")
-    shares = letter_shares(tokens).scalar()
-    judged = tokens.withColumn("shares", shares).select(
-        _band(F.col("t.n")).alias("band"), _bin(ordinary_probability(F.col("t"), F.col("shares"))).alias("bin")
-    )
+    letters = F.lit(letter_chances(tokens))
+    judged = found.select(F.explode(F.transform("tokens", lambda x: F.struct(_band(x["t"]["n"]).alias("band"), _bin(random_evidence(x, letters)).alias("bin")))).alias("x")).select("x.*")
     least = thresholds(judged.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n"))).scalar()
 
     def random(x: Column) -> Column:
         t = x["t"]
-        accepted = _bin(ordinary_probability(t, F.col("shares"))) >= F.coalesce(F.element_at("least", _band(t["n"])), F.lit(BINS * LEAST_POWER + 1))
+        accepted = _bin(random_evidence(x, letters)) >= F.coalesce(F.element_at("least", _band(t["n"])), F.lit(BINS * LEAST_POWER + 1))
         return accepted & (F.least(t["p_uniform"], t["p_runs"], t["p_serial"]) >= REJECT / 3)
 
     added = _spans(F.filter("tokens", random), KINDS[3])
-    return found.withColumn("shares", shares).withColumn("least", least).select(
+    return found.withColumn("least", least).select(
         "doc_id", "base", added.alias("added"), *[f"kept_{k}" for k in range(len(keep))]
     )
 

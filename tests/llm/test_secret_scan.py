@@ -127,3 +127,34 @@ def test_ordinary_probability_by_simulation(spark):
     values = [r.p for r in frame.select(scan.ordinary_probability(F.col("t"), given).alias("p")).collect()]
     assert abs(sum(v < 0.5 for v in values) / 2000 - 0.5) < 0.08
     assert sum(v < 0.01 for v in values) / 2000 < 0.015
+
+
+def test_recall_by_encoding_and_length(spark):
+    """Secrets at 1 % of the tokens, every encoding at every length; ordinary tokens of several shapes beside them."""
+    pick = random.Random(12)
+    syllables = ["the", "tion", "ing", "er", "and", "en", "sch", "keit", "ment", "re", "able", "on", "over", "pro", "con", "data", "ly", "ver"]
+    word = lambda k: "".join(pick.choices(syllables, k=k))
+    shapes = [
+        lambda: word(7),
+        lambda: word(7).capitalize(),
+        lambda: word(7).upper(),
+        lambda: "_".join(word(2) for _ in range(4)),
+        lambda: word(2) + "".join(word(2).capitalize() for _ in range(3)),
+        lambda: "/".join(word(2) for _ in range(4)),
+        lambda: f"{word(4)}-20{pick.randrange(10, 30)}-0{pick.randrange(1, 10)}-{pick.randrange(10, 30)}",
+    ]
+    encodings = ("hex", "hex_upper", "lower", "upper", "base32", "base36", "base36_upper", "letters", "base62", "base64", "base64_url")
+    lengths, each = (16, 20, 24, 32, 40, 64), 10
+    secrets = [(e, n, "".join(pick.choices(scan.ENCODINGS[e], k=n))) for e in encodings for n in lengths for _ in range(each)]
+    rows = [(-k, " ".join(x for x in (pick.choice(shapes)() for _ in range(33)))) for k in range(1, 3 * len(secrets) + 1)]
+    rows += [(k, f"a {s} b") for k, (_, _, s) in enumerate(secrets)]
+    got = {r.doc_id: r.spans for r in scan.secret_digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    recall = Counter((e, n) for k, (e, n, _) in enumerate(secrets) if got[k])
+    for e in encodings:
+        print(f"{e:12}", *(f"{recall[e, n] / each:.2f}" for n in lengths))
+    wrong = sum(spans.count("random:") for d, spans in got.items() if d < 0)
+    print("wrong", wrong, "of", 33 * 3 * len(secrets))
+    for n in lengths:
+        assert sum(recall[e, n] for e in encodings) >= (0.9 if n < 24 else 0.97) * each * len(encodings)
+        assert min(recall[e, n] for e in encodings) >= (0.5 if n < 24 else 0.8) * each
+    assert wrong <= 0.02 * sum(recall.values())
