@@ -6,11 +6,12 @@ at the run's root and goes on to one or two children a level: the node's own has
 the set's values there name the children. Sets of similarity J share a picked value with chance J, so
 a pair above the threshold keeps at least one common child on average and meets at the last level of
 a run with a chance near two thirds; sets with little in common part at once. Nodes still crowded
-then are split further by more coordinates, and those that stay crowded are compared in blocks.
+then are split further by more coordinates, and those that stay crowded are compared in blocks. As a
+pair may part on these further levels, sets that stood in a crowded node make more runs.
 
 Small nodes are compared by brute force on short sketches. That gives candidate components, within
-which every pair of sets is verified exactly on the shingles themselves. The number of runs follows
-from the recall asked for.
+which every pair of sets is verified exactly on the shingles themselves. The numbers of runs follow
+from the recall asked for, the levels, and how many of the coordinates a pair happens to share.
 """
 
 from __future__ import annotations
@@ -44,12 +45,21 @@ _CHILD, _NODE = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD1B54A32D192ED03)
 
 
 def runs_needed(recall: float, levels: int = LEVELS, near: float = NEAR / OF) -> int:
-    """Runs after which a pair at the threshold has met with at least this chance."""
-    met = 1.0
+    """Runs after which a pair at the threshold has met with at least this chance.
+
+    All runs read the same coordinates, of which the pair shares a binomial number; its chance to
+    have met is the mean over that number.
+    """
+    shared = np.arange(COORDINATES + 1)
+    chance = np.array([math.comb(COORDINATES, k) * near**k * (1 - near) ** (COORDINATES - k) for k in shared.tolist()])
+    met = np.ones(len(shared))
     for _ in range(levels):
-        miss = 1 - near * met
+        miss = 1 - shared / COORDINATES * met
         met = 1 - ((1 - 1 / SECOND) * miss + miss * miss / SECOND)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+    runs = 1
+    while chance @ (1 - met) ** runs > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -115,11 +125,11 @@ def next_level(node: np.ndarray, at: np.ndarray, embedded: np.ndarray) -> tuple[
     return mix(parent * _CHILD + mix(token)), row
 
 
-def _paths(embedded: np.ndarray, runs: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes at the last level of all runs, and their rows; each pair once."""
+def _paths(embedded: np.ndarray, runs: int, levels: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes at the last level of the runs from ``first`` up to ``runs``, and their rows; each pair once."""
     rows = len(embedded)
-    node = np.repeat(mix(np.arange(1, runs + 1, dtype=np.uint64) * _CHILD), rows)
-    at = np.tile(np.arange(rows), runs)
+    node = np.repeat(mix(np.arange(first + 1, runs + 1, dtype=np.uint64) * _CHILD), rows)
+    at = np.tile(np.arange(rows), runs - first)
     for _ in range(levels):
         node, at = next_level(node, at, embedded)
     return node, at
@@ -172,14 +182,14 @@ def _nodes(keys: np.ndarray, node: np.ndarray, at: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(node[new]), pa.array(key[new])], names=["node", "key"])
 
 
-def _start(sets: DataFrame, runs: int) -> DataFrame:
-    """``node, key``: where each set stands after the first levels."""
+def _start(sets: DataFrame, runs: int, first_run: int = 0) -> DataFrame:
+    """``node, key``: where each set stands after the first levels of the runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 2000):
                 batch = whole.slice(first, 2000)
-                yield _nodes(batch.column(0).to_numpy(), *_paths(_matrix(batch.column(1)), runs, LEVELS))
+                yield _nodes(batch.column(0).to_numpy(), *_paths(_matrix(batch.column(1)), runs, LEVELS, first_run))
 
     return sets.select("key", "embedded").mapInArrow(run, "node long, key long")
 
@@ -307,9 +317,15 @@ def _joined(docs: DataFrame, recall: float, size: int) -> tuple[DataFrame, DataF
     full = rows.filter("not empty")
 
     edges = None
-    nodes = stored(_met(_start(full, runs_needed(recall))), "nodes")
+    # A pair is missed on the first levels or, if all its nodes are crowded, on all levels; each has half the chance.
+    runs, more_runs = (runs_needed((1 + recall) / 2, levels) for levels in (LEVELS, LEVELS + MORE_LEVELS))
+    nodes = stored(_met(_start(full, runs)), "nodes")
     met = nodes.select("key").distinct()
     sets = stored(full.join(met, "key", "left_semi").groupBy("key").agg(F.first("embedded").alias("embedded"), F.first("sketch").alias("sketch")), "sets")
+    stood = nodes.filter(F.col("n") > BLOCK).select("key").distinct()
+    if not stood.isEmpty():
+        again = sets.join(stood, "key", "left_semi")
+        nodes = stored(nodes.union(_met(_start(again, more_runs, runs)).select(nodes.columns)), "nodes")
     for level in range(MORE_LEVELS + 1):
         last = level == MORE_LEVELS
         small = nodes if last else nodes.filter(F.col("n") <= BLOCK)

@@ -1,5 +1,6 @@
 """The join against brute force, its parts against plain loops."""
 
+import math
 import random
 import re
 
@@ -109,6 +110,40 @@ def test_recall_of_a_run(spark):
     assert abs(likeness - 0.8) < 0.01
 
 
+def test_recall_in_a_crowded_node(spark, monkeypatch):
+    """Some thousand pairs at the threshold, all with the same boilerplate, so that their nodes stay crowded."""
+    monkeypatch.setattr(cp, "BLOCK", 24)
+    pairs = 2500
+    rows = []
+    for k in range(pairs):
+        common, own = [f"c{i}" for i in range(114)], [f"p{k}_{i}" for i in range(50)]
+        rows += [(2 * k + side, " ".join(common + own + [f"q{k}_{side}_{i}" for i in range(20)])) for side in (0, 1)]
+    first, second = shingles(rows[0][1]), shingles(rows[1][1])
+    assert len(first & second) == 0.8 * len(first | second)
+    got = {r.doc_id: r.n_links for r in cp.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert sum(got[2 * k] == 0 for k in range(pairs)) == 0
+    assert all(n <= 1 for n in got.values())
+
+
+def test_runs_needed():
+    """The chance over all levels, drawn with 128 coordinates that all runs share."""
+    pick = np.random.default_rng(5)
+    levels, pairs = cp.LEVELS + cp.MORE_LEVELS, 4000
+    left = pick.integers(0, 2**32, (pairs, cp.COORDINATES), dtype=np.uint32)
+    right = np.where(pick.random(left.shape) < 0.8, left, left + np.uint32(1))
+    missed = {}
+    for recall in (0.9, 0.99):
+        node, at = cp._paths(np.vstack([left, right]), cp.runs_needed(recall, levels), levels)
+        pair = np.unique(np.c_[node, at % pairs, at // pairs], axis=0)
+        same = (pair[1:, :2] == pair[:-1, :2]).all(axis=1)
+        missed[recall] = 1 - len(np.unique(pair[1:, 1][same])) / pairs
+    met = lambda n, p: 1 if n == 0 else 1 - (0.75 * (1 - p * met(n - 1, p)) + 0.25 * (1 - p * met(n - 1, p)) ** 2)
+    share = [math.comb(128, k) * 0.8**k * 0.2 ** (128 - k) for k in range(129)]
+    for n in (cp.LEVELS, levels):
+        assert sum(c * (1 - met(n, k / 128)) ** cp.runs_needed(cp.RECALL, n) for k, c in enumerate(share)) <= 1 - cp.RECALL
+    assert missed[0.9] <= 0.12 and missed[0.99] <= 0.015
+
+
 def test_sets():
     texts = ["a b c d e f", "a b c d e f a b c d e", "a b", "b a", "", "a a a a a a a"]
     for chunk in chunks(pa.array(texts)):
