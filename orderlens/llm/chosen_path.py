@@ -277,13 +277,13 @@ def _verified(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``wanted`` (``doc, key`` and more) with the shingles of a row of that ``doc`` and set."""
+    """``wanted`` (``doc, hash, key`` and more) with the shingles of a row of that ``doc`` and text."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches):
             texts = [pack(t.encode()) for t in text_column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.binary())], names=["doc", "hash", "packed"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -298,10 +298,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 columns = [c.take(pa.array(same)) for k, c in enumerate(part.columns) if k != place]
                 yield pa.RecordBatch.from_arrays([*columns, shingles], names=[n for n in batch.schema.names if n != "packed"] + ["shingles"])
 
-    texts = _own(docs).select("doc", "text").mapInArrow(packed, "doc long, packed binary")
-    joined = texts.join(wanted.hint("shuffle_hash"), "doc").select("doc", "key", *[c for c in wanted.columns if c not in ("doc", "key")], "packed")
+    # Rows without a doc_id, or with a repeated one, meet by their text: each is unpacked for its own set only.
+    texts = _own(docs).select("doc", "hash", "text").mapInArrow(packed, "doc long, hash long, packed binary")
+    joined = texts.join(wanted.hint("shuffle_hash"), ["doc", "hash"]).select("doc", "key", *[c for c in wanted.columns if c not in ("doc", "hash", "key")], "packed")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields if f.name != "packed")
-    # A doc_id that stands on several rows may have the same set twice.
+    # Repeated rows have the same set.
     return joined.mapInArrow(sets, kinds + ", shingles binary").dropDuplicates(["key"])
 
 
@@ -339,8 +340,8 @@ def _joined(docs: DataFrame, recall: float, size: int) -> tuple[DataFrame, DataF
 
     parts = connected_components(edges).withColumnsRenamed({"node": "key", "label": "part"})
     sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    wanted = copies.select("row.doc", "key", "copies").join(parts, "key").join(sizes, "part")
-    blocks = in_blocks(_sets_of(docs, wanted.select("doc", "key", "copies", "part", "n"), size), "part", BLOCK // 2)
+    wanted = copies.select("row.doc", "row.hash", "key", "copies").join(parts, "key").join(sizes, "part")
+    blocks = in_blocks(_sets_of(docs, wanted.select("doc", "hash", "key", "copies", "part", "n"), size), "part", BLOCK // 2)
     verified = stored(over_groups(blocks, ["part", "x", "y"], _verified, "key long, near long, links long"), "links")
     links = verified.groupBy("key").agg(F.sum("links").alias("links"))
     classes = connected_components(verified.select(F.col("key").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "key")

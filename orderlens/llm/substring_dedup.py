@@ -11,7 +11,8 @@ A Spark round then finds which high symbols several documents share; only window
 named in full and compared in a second round. Names are global because they are hashes: no
 dictionary is built. Each round is one shuffle of small rows, in which a task sends a symbol once
 for all its documents, so a passage in a third of all documents does not meet in one place. Texts
-are shuffled once, compressed, and joined with their symbols and with their windows.
+are shuffled once, compressed, and joined with their symbols and with their windows, by ``doc_id`` and
+a hash of the text: rows without an id, or with a repeated one, spread like others.
 """
 
 from __future__ import annotations
@@ -33,8 +34,12 @@ WINDOW = 13
 CONTEXT = 1
 
 _PAIR, _RUN, _HIGH = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-NAMES = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("known", pa.bool_())])
-PAIRS = pa.schema([("name", pa.int64()), ("doc", pa.int64())])
+#: ``hashes`` are those of a task's texts with the name and the ``doc``.
+NAMES = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("hashes", pa.list_(pa.int64())), ("known", pa.bool_())])
+NAMES_SQL = "name long, doc long, hashes array<long>, known boolean"
+PAIRS = pa.schema([("name", pa.int64()), ("doc", pa.int64()), ("hash", pa.int64())])
+#: The order of documents without an id.
+NO_ID = 2**63 - 1
 
 
 def high_symbols(words: Words) -> np.ndarray:
@@ -85,79 +90,112 @@ def window_symbols(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.n
     return start, best[start + CONTEXT]
 
 
-def _first_docs(name: np.ndarray, doc: np.ndarray, providers: bool) -> pa.RecordBatch:
+def _first_docs(name: np.ndarray, doc: np.ndarray, text: np.ndarray, providers: bool) -> pa.RecordBatch:
     """What a task sends for its names: a name's least document, and what is known here already.
 
     A document with a name that a smaller one of the same task has is ``known`` to share it; with
-    ``providers`` so is the smaller one.
+    ``providers`` so is the smaller one. Texts (hashes) of the least document go in one row.
     """
-    order = np.lexsort((doc, name))
-    name, doc = name[order], doc[order]
-    keep = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])][: len(name)]
-    name, doc = name[keep], doc[keep]
-    first = np.r_[True, name[1:] != name[:-1]][: len(name)]
-    parts = [(name[first], doc[first], False), (name[~first], doc[~first], True)]
+    order = np.lexsort((text, doc, name))
+    name, doc, text = name[order], doc[order], text[order]
+    keep = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])][: len(name)]
+    name, doc, text = name[keep], doc[keep], text[keep]
+    begin = np.flatnonzero(np.r_[True, name[1:] != name[:-1]][: len(name)])
+    size = np.diff(np.r_[begin, len(name)])
+    least = doc == np.repeat(doc[begin], size)
+    total = np.r_[0, np.cumsum(least)]
+    ends = np.r_[begin, len(name)]
+    texts = total[ends[1:]] - total[ends[:-1]]
+    known = ~least
     if providers:
-        several = first & np.r_[~first[1:], False][: len(name)]
-        parts.append((name[several], doc[several], True))
-    known = np.concatenate([np.full(len(a), c) for a, _, c in parts])
-    columns = [np.concatenate([p[k] for p in parts]) for k in (0, 1)]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(known, pa.bool_())], schema=NAMES)
+        known = known | np.repeat(texts < size, size)
+    at = np.flatnonzero(known)
+    lists = [np.cumsum(np.r_[0, texts]), int(texts.sum()) + np.arange(1, len(at) + 1)]
+    hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(lists).astype(np.int32)), pa.array(np.r_[text[least], text[at]]))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.r_[name[begin], name[at]].view(np.int64)),
+            pa.array(np.r_[doc[begin], doc[at]]),
+            hashes,
+            pa.array(np.arange(len(begin) + len(at)) >= len(begin)),
+        ],
+        schema=NAMES,
+    )
+
+
+def _each_text(name: pa.Array, doc: pa.Array, hashes: pa.Array) -> pa.RecordBatch:
+    """A row for each hash."""
+    of = pa.compute.list_parent_indices(hashes)
+    return pa.RecordBatch.from_arrays([name.take(of), doc.take(of), pa.compute.list_flatten(hashes)], schema=PAIRS)
 
 
 def shared_names(rows: DataFrame, providers: bool) -> DataFrame:
-    """``name, doc`` for documents that have a name in common with a smaller document.
+    """``name, doc, hash`` for texts that have a name in common with a smaller document.
 
-    ``rows`` has ``name, doc, known``. The rows of a name come in order of documents as a stream, so
-    a task holds one batch. With ``providers`` the smallest document of a shared name is named too.
+    ``rows`` has the columns of ``NAMES``. The rows of a name come in order of documents as a
+    stream, so a task holds one batch. With ``providers`` the smallest document of a shared name is
+    named too; its rows, several only for a repeated ``doc_id``, are held as hashes until a larger
+    one comes. Without an id there is none larger, so nothing is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, bool] | None = None  # name, its least document, whether that one was sent
+        last: tuple[int, int, bool] | None = None  # name, its least document, whether a larger one came
+        held: list[pa.RecordBatch] = []  # rows of that document
         for batch in batches:
-            name, doc, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            parts = [(name[known], doc[known])]
-            name, doc = name[~known], doc[~known]
-            if len(name):
+            name, doc, known = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
+            out = known.copy()
+            at = np.flatnonzero(~known)
+            if len(at):
+                name, doc = name[at], doc[at]
                 begin = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
                 least = doc[begin].copy()
-                sent = np.zeros(len(begin), dtype=bool)
-                if last and last[0] == name[0]:
-                    least[0], sent[0] = last[1:]
+                came = np.zeros(len(begin), dtype=bool)
+                carried = last is not None and last[0] == name[0]
+                if carried:
+                    least[0], came[0] = last[1:]
+                else:
+                    held = []
                 of = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(name)]))
                 later = doc > least[of]
-                parts.append((name[later], doc[later]))
-                has = np.zeros(len(begin), dtype=bool)
-                has[of[later]] = True
+                out[at[later]] = True
+                came[of[later]] = True
                 if providers:
-                    parts.append((name[begin][has & ~sent], least[has & ~sent]))
-                last = (int(name[-1]), int(least[-1]), bool(sent[-1] | has[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in (0, 1)], schema=PAIRS)
+                    first = ~later
+                    out[at[first & came[of]]] = True
+                    if carried and came[0]:
+                        yield from (_each_text(*h.columns[:3]) for h in held)
+                        held = []
+                    if len(begin) > 1:
+                        held = []
+                    waits = first & (of == len(begin) - 1) & ~came[of] & (doc != NO_ID)
+                    if waits.any():
+                        held.append(batch.take(pa.array(at[waits])))
+                last = (int(name[-1]), int(least[-1]), bool(came[-1]))
+            found = batch.filter(pa.array(out))
+            yield _each_text(*found.columns[:3])
 
     # Rows that are known already only pass through, and go anywhere.
-    dealt = rows.repartition(F.when(F.col("known"), F.xxhash64("doc")).otherwise(F.col("name")))
-    return dealt.sortWithinPartitions("name", "doc").mapInArrow(run, "name long, doc long")
+    dealt = rows.repartition(F.when(F.col("known"), F.xxhash64("doc", F.get("hashes", F.lit(0)))).otherwise(F.col("name")))
+    return dealt.sortWithinPartitions("name", "doc").mapInArrow(run, "name long, doc long, hash long")
 
 
 def _by_document(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("doc").agg(F.collect_set("name").alias("names"))
+    return pairs.groupBy("doc", "hash").agg(F.collect_set("name").alias("names"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """``doc_id, doc, packed``: the order of documents and their compressed texts."""
-    own = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    """``doc_id, doc, hash, packed``: the order of documents and their compressed texts; ``doc`` and ``hash`` name one."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    own = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches):
             packed = [pack(t.encode()) for t in text_column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "doc", "packed"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["doc_id", "doc", "hash", "packed"])
 
-    return own.mapInArrow(run, "doc_id long, doc long, packed binary")
+    return own.mapInArrow(run, "doc_id long, doc long, hash long, packed binary")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[Chunk, Words, list[np.ndarray]]]:
@@ -183,43 +221,45 @@ def _among(values: np.ndarray, bounds: np.ndarray, names: list[np.ndarray]) -> n
 
 
 def symbols_of_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``name, doc, known``: the high symbols that stand for a window of each document."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """``name, doc, hashes, known``: the high symbols that stand for a window of each document."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy()
+            ids, hashes = (batch.column(c).to_numpy() for c in ("doc", "hash"))
             parts = []
             for chunk in chunks(text_column(batch, "text")):
                 words = words_of(chunk)
                 start, symbol = window_symbols(words, window)
                 row = words.row[start]
                 new = np.r_[True, (symbol[1:] != symbol[:-1]) | (row[1:] != row[:-1])][: len(start)]
-                parts.append((symbol[new], ids[chunk.first + row[new]]))
+                parts.append((symbol[new], ids[chunk.first + row[new]], hashes[chunk.first + row[new]]))
             if parts:
-                yield _first_docs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), True)
+                yield _first_docs(*(np.concatenate([p[k] for p in parts]) for k in range(3)), True)
 
-    return own.mapInArrow(run, "name long, doc long, known boolean")
+    return own.mapInArrow(run, NAMES_SQL)
 
 
 def windows_of_documents(joined: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``name, doc, known``: full names of the windows under the symbols in ``names``."""
+    """``name, doc, hashes, known``: full names of the windows under the symbols in ``names``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
             for part in slices(iter([batch])):
-                ids = part.column("doc").to_numpy()
+                ids, hashes = (part.column(c).to_numpy() for c in ("doc", "hash"))
                 for chunk, words, names in _unpacked(part):
                     start, symbol = window_symbols(words, window)
                     bounds = np.searchsorted(start, words.bounds)
                     hit = _among(symbol, bounds, names)
                     full = window_names(words.name, window)
-                    parts.append((full[start[hit]], ids[chunk.first + words.row[start[hit]]]))
+                    row = chunk.first + words.row[start[hit]]
+                    parts.append((full[start[hit]], ids[row], hashes[row]))
             if parts:
-                yield _first_docs(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), False)
+                yield _first_docs(*(np.concatenate([p[k] for p in parts]) for k in range(3)), False)
 
-    return joined.mapInArrow(run, "name long, doc long, known boolean")
+    return joined.mapInArrow(run, NAMES_SQL)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True) -> DataFrame:
@@ -235,7 +275,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
         raise ValueError("a window has at least five words")
     texts = _texts(docs)
     symbols = _by_document(shared_names(symbols_of_documents(docs, window), True))
-    named = windows_of_documents(texts.join(symbols.hint("shuffle_hash"), "doc").select("doc", "packed", "names"), window)
+    named = windows_of_documents(texts.join(symbols.hint("shuffle_hash"), ["doc", "hash"]).select("doc", "hash", "packed", "names"), window)
     windows = _by_document(shared_names(named, False))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.string())] * keep_text)
 
@@ -265,7 +305,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
-    return texts.join(windows.hint("shuffle_hash"), "doc", "left").select("doc_id", "packed", "names").mapInArrow(run, kinds)
+    return texts.join(windows.hint("shuffle_hash"), ["doc", "hash"], "left").select("doc_id", "packed", "names").mapInArrow(run, kinds)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

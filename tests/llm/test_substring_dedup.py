@@ -86,6 +86,29 @@ def test_rows_of_any_kind(spark):
     assert kept[2] == ""
 
 
+def test_rows_without_their_own_id(spark, monkeypatch):
+    """Many texts without an id or with a repeated one: right results, and no array gathers what several texts share."""
+    rows = [(pick if pick is None else min(pick, 5), t) for pick, (_, t) in zip([None, 5, 1, 7] * 60, made(6, 240), strict=True)]
+    seen = []
+    by_document = dedup._by_document
+
+    def watched(pairs):
+        seen.append(by_document(pairs).count())
+        return by_document(pairs)
+
+    monkeypatch.setattr(dedup, "_by_document", watched)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(batch)
+    spark.conf.set(batch, "7")  # a name's rows come in several batches
+    try:
+        for parts in (1, 9):
+            assert run(frame.repartition(parts)) == brute(rows)
+    finally:
+        spark.conf.set(batch, own)
+    assert min(seen) > 20  # by doc alone there would be three groups
+
+
 def test_equal_windows_have_equal_symbols():
     pick = random.Random(4)
     for _ in range(50):
