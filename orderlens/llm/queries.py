@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .block_max import OP13_SQL, op13_block_max
 from .byte_bpe import op10_byte_bpe
 from .chat import OP3_SQL, op3_chat
 from .chosen_path import op9_chosen_path
@@ -30,9 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_packing,
         op9_chosen_path,
         op10_byte_bpe,
+        op13_block_max,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL}
+    return {"op3_chat": OP3_SQL, "op13_block_max": OP13_SQL}
