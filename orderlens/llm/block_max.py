@@ -36,6 +36,8 @@ BLOCK = 128
 SHARD_BYTES = 8 << 20
 #: Documents of a shard scored together.
 WINDOW = 16 * BLOCK
+#: Shards searched by one task, on average; fewer where there are fewer than the session's shuffle partitions.
+SHARDS_OF_A_TASK = 16
 #: Items searched in one pass over the index.
 ITEMS_AT_ONCE = 1000
 
@@ -261,7 +263,7 @@ def _search_block(
     """The ``k`` best documents of each item of one block, or None where no term is known."""
     spark = index.sparkSession
     numbers = {term: i for i, term in enumerate(sorted({t for _, _, counts in items for t in counts}))}
-    documents, total = index.filter("term IS NULL").agg(F.sum("df"), F.sum("total")).first()
+    documents, total, shards = index.filter("term IS NULL").agg(F.sum("df"), F.sum("total"), F.count("*")).first()
     if not numbers or not documents:
         return None
     # As many rows as the block of items has terms.
@@ -321,7 +323,8 @@ def _search_block(
     rows = wanted.select("shard", "number", "df", "heads", "impacts", "payload").unionByName(
         index.filter("term IS NULL").select("shard", F.lit(None).cast("int").alias("number"), "df", "heads", "impacts", "payload")
     )
-    dealt = rows.repartition("shard").sortWithinPartitions("shard")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // SHARDS_OF_A_TASK)
+    dealt = rows.repartition(partitions, "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(run, "item long, item_id long, doc_id long, score long")
 
 
