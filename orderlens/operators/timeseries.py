@@ -13,13 +13,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
-from .holt_winters import forecast_series
+from .holt_winters import (
+    MOVING_AVERAGE,
+    NAIVE,
+    RECENT_PERIODS,
+    forecast_series,
+    forecast_states,
+    holt_winters_states,
+    moving_average_states,
+    naive_states,
+    series_arrays,
+)
 
-NAIVE = "naive_last_value"
-MOVING_AVERAGE = "moving_average_4"
 # Percentage change up to which replenishment is held.
 HOLD_BAND_PCT = 5.0
-RECENT_PERIODS = 4
 
 _ALL = "all"
 
@@ -116,19 +123,18 @@ def _parts(split: DataFrame) -> tuple[DataFrame, DataFrame]:
     return train, test
 
 
-def _constant_forecast(split: DataFrame, values: DataFrame, model: str) -> DataFrame:
-    _, test = _parts(split)
-    return test.join(values, "series_key").select(
+def _constant_forecast(split: DataFrame, y_hat: Column, model: str) -> DataFrame:
+    """Test periods with a value computed over the training part of their series, in one pass over it."""
+    return split.withColumn("y_hat", y_hat).filter(F.col("part") == "test").select(
         "series_key", "period", F.lit(model).alias("model"), "y", "y_hat"
     )
 
 
 def ts_naive_forecast(split: DataFrame) -> DataFrame:
-    """The last training value, repeated."""
-    train, _ = _parts(split)
-    return _constant_forecast(
-        split, train.groupBy("series_key").agg(F.max_by("y", "period").alias("y_hat")), NAIVE
-    )
+    """The last training value, repeated; null where a series has no training part."""
+    train = F.col("part") == "train"
+    last = F.max_by(F.when(train, F.col("y")), F.when(train, F.col("period")))
+    return _constant_forecast(split, last.over(Window.partitionBy("series_key")), NAIVE).filter("y_hat IS NOT NULL")
 
 
 def recent_mean(train: DataFrame, n: int = RECENT_PERIODS) -> DataFrame:
@@ -144,8 +150,10 @@ def recent_mean(train: DataFrame, n: int = RECENT_PERIODS) -> DataFrame:
 
 def ts_moving_average_forecast(split: DataFrame, n: int = RECENT_PERIODS) -> DataFrame:
     """The mean of the last ``n`` training values, held constant."""
-    train, _ = _parts(split)
-    return _constant_forecast(split, recent_mean(train, n), MOVING_AVERAGE)
+    age = F.row_number().over(Window.partitionBy("series_key", "part").orderBy(F.col("period").desc()))
+    recent = F.when((F.col("part") == "train") & (F.col("_age") <= n), F.col("y"))
+    mean = F.avg(recent).over(Window.partitionBy("series_key"))
+    return _constant_forecast(split.withColumn("_age", age), mean, MOVING_AVERAGE).filter("y_hat IS NOT NULL")
 
 
 def ts_holt_winters(split: DataFrame, test_size: int, freq: str = "month", **options) -> DataFrame:
@@ -166,6 +174,43 @@ def ts_refit_forward(series: DataFrame, horizon: int = 6, freq: str = "month", *
     )
 
 
+def ts_model_predictions(split: DataFrame, test_size: int, freq: str = "month", **options) -> DataFrame:
+    """Test periods with the forecasts of all three models, each fitted on the training part.
+
+    A series too short for Holt-Winters has null forecasts under that model's short name.
+    """
+    train, test = _parts(split)
+    arrays = series_arrays(train)
+    states = (
+        naive_states(arrays)
+        .unionByName(moving_average_states(arrays))
+        .unionByName(holt_winters_states(arrays, freq, **options))
+    )
+    ahead = forecast_states(states, test_size, freq).drop("period")
+    return test.join(ahead, ["series_key", "step"]).select("series_key", "period", "model", "y", "y_hat")
+
+
+def ts_forward(series: DataFrame, best: DataFrame, horizon: int = 6, freq: str = "month", **options) -> DataFrame:
+    """The next ``horizon`` periods by each series' best model, refitted on all its periods.
+
+    ``best`` is ``ts_best_model``; a series that is not in it (too short to be tested) repeats its last
+    value. Only series whose best model is Holt-Winters are fitted.
+    """
+    chosen = series_arrays(series).join(best.select("series_key", "best_model"), "series_key", "left")
+    chosen = chosen.withColumn("best_model", F.coalesce("best_model", F.lit(NAIVE)))
+
+    def of(model: str) -> DataFrame:
+        return chosen.filter(F.col("best_model") == model).drop("best_model")
+
+    smoothed = ~F.col("best_model").isin(NAIVE, MOVING_AVERAGE)
+    states = (
+        naive_states(of(NAIVE))
+        .unionByName(moving_average_states(of(MOVING_AVERAGE)))
+        .unionByName(holt_winters_states(chosen.filter(smoothed).drop("best_model"), freq, **options))
+    )
+    return forecast_states(states, horizon, freq).select("series_key", "period", "model", "y_hat")
+
+
 def ts_accuracy(predictions: DataFrame, digits: int = 2) -> DataFrame:
     """MAE and RMSE per series and model."""
     error = F.col("y") - F.col("y_hat")
@@ -176,9 +221,9 @@ def ts_accuracy(predictions: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def ts_best_model(accuracy: DataFrame, baseline: str = NAIVE) -> DataFrame:
-    """The model with the lowest RMSE per series, and its MAE gain over the baseline."""
+    """The model with the lowest RMSE per series, and its MAE gain over the baseline; models without forecasts never win."""
     best = accuracy.groupBy("series_key").agg(
-        F.min_by(F.struct("model", "rmse", "mae"), F.struct("rmse", "model")).alias("best"),
+        F.min_by(F.struct("model", "rmse", "mae"), F.when(F.col("rmse").isNotNull(), F.struct("rmse", "model"))).alias("best"),
         F.max(F.when(F.col("model") == baseline, F.col("mae"))).alias("base"),
     )
     gain = 100 * (1 - F.try_divide(F.col("best.mae"), F.col("base")))
