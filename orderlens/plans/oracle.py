@@ -238,6 +238,19 @@ def _split_ctes(key: str = "category_name") -> list[str]:
     ]
 
 
+# The six months after the last of each series.
+AHEAD = """SELECT series_key, n, CAST(CAST(last AS TIMESTAMP) + to_months(CAST(h AS INTEGER)) AS DATE) AS period
+  FROM (SELECT series_key, count(*) AS n, max(period) AS last FROM series GROUP BY 1), (SELECT unnest(range(1, 7)) AS h)"""
+
+
+def _both_series() -> list[str]:
+    """Complete months of all categories and of the total."""
+    total = MONTH_GRID.format(key="'all'").replace("monthly", "monthly_total").replace("series_all", "total_all")
+    cut = f"WHERE period <= DATE '{MONTH_CUTOFF}'"
+    both = f"series AS (SELECT * FROM series_all {cut} UNION ALL SELECT * FROM total_all {cut})"
+    return [MONTH_GRID.format(key="category_name"), total, both]
+
+
 SCORED = """scored AS (SELECT 'fixed_rule' AS model, late_delivery_risk AS label,
   CAST((4 - days_for_shipment_scheduled) * 100 + order_item_quantity AS BIGINT) AS score,
   CASE WHEN (4 - days_for_shipment_scheduled) * 100 + order_item_quantity >= 150 THEN 1 ELSE 0 END AS prediction FROM orders_fact)"""
@@ -823,24 +836,37 @@ def oracle_sql() -> dict[str, str]:
     q["ts_naive_forecast"] = on_fact("SELECT * FROM pred WHERE model = 'naive_last_value'", *_split_ctes())
     q["ts_moving_average_forecast"] = on_fact("SELECT * FROM pred WHERE model = 'moving_average_4'", *_split_ctes())
     q["ts_accuracy"] = on_fact("SELECT * FROM acc", *_split_ctes())
-    q["ts_best_model"] = on_fact(
+    q["ts_best_baseline"] = on_fact(
         f"""SELECT series_key, best_model, rmse, {r('100 * (1 - mae / NULLIF(base, 0))', 1)} AS improvement_over_baseline_pct FROM (
           SELECT series_key, model AS best_model, rmse, mae, row_number() OVER (PARTITION BY series_key ORDER BY rmse, model) AS rn,
             max(CASE WHEN model = 'naive_last_value' THEN mae END) OVER (PARTITION BY series_key) AS base FROM acc) WHERE rn = 1""",
         *_split_ctes(),
     )
     change = r("100 * (n.y_hat - m.y_hat) / NULLIF(m.y_hat, 0)", 1)
-    q["ts_planning_signal"] = on_fact(
+    q["ts_planning_signal_naive"] = on_fact(
         f"""SELECT *, CASE WHEN pct_change IS NULL THEN NULL WHEN pct_change > 5 THEN 'increase' WHEN abs(pct_change) <= 5 THEN 'hold' ELSE 'taper' END AS signal
         FROM (SELECT series_key, {r('n.y_hat', 1)} AS next_avg, {r('m.y_hat', 1)} AS recent_avg, {change} AS pct_change
               FROM naive n JOIN ma m USING (series_key))""",
         *_split_ctes(),
     )
-    q["ts_actual_vs_forecast"] = on_fact(
+    q["ts_actual_vs_forecast_baselines"] = on_fact(
         """SELECT series_key, period, CASE WHEN age <= 6 THEN 'actual_test' ELSE 'actual_train' END AS series, y AS value FROM aged
         UNION ALL SELECT series_key, period, model, y_hat FROM pred""",
         *_split_ctes(),
     )
+    q["ts_forward_periods"] = on_fact(
+        f"""SELECT series_key, period, CASE WHEN n >= 24 THEN 'holt_winters' ELSE 'too_short' END AS kind, n >= 24 AS has_value
+        FROM test JOIN (SELECT series_key, count(*) AS n FROM aged WHERE age > 6 GROUP BY 1) USING (series_key)
+        UNION ALL SELECT series_key, period, 'forward', TRUE FROM ({AHEAD})""",
+        *_split_ctes(),
+    )
+    fitted = "CASE WHEN n >= 24 THEN 'holt_winters' ELSE 'too_short' END AS model, n >= 24 AS has_value"
+    q["ts_refit_forward_periods"] = on_fact(f"SELECT series_key, period, {fitted} FROM ({AHEAD})", *_both_series())
+    q["forecast_lookup_periods"] = on_fact(
+        f"""SELECT asked, series_key, period, {fitted} FROM ({AHEAD})
+        JOIN (VALUES ('brand#7', 'brand#7'), ('nothing', 'all')) AS t(asked, wanted) ON lower(series_key) = wanted""",
+        *_both_series(),
+    )
     q["ts_flatline_check"] = on_fact(
         f"""SELECT series_key, period, y, {r('cv', 4)} AS rolling_cv, COALESCE(n = 8 AND cv < 0.01, FALSE) AS is_flat
         FROM (SELECT *, count(*) OVER w AS n, stddev_samp(y) OVER w / NULLIF(avg(y) OVER w, 0) AS cv FROM series_all

@@ -28,6 +28,8 @@ from ..operators import (
     supplier,
     timeseries as ts,
 )
+from ..operators.forecast_store import ForecastStore
+from ..operators.holt_winters import MOVING_AVERAGE, NAIVE
 from ..schema import (
     CORRELATED_COLUMNS,
     CORRELATED_COLUMNS_WIDE,
@@ -208,7 +210,7 @@ def results_catalog(star: Star) -> DataFrame:
             F.lit("segment_vs_late").alias("section"),
             F.expr("stack(2, 'chi2_statistic', chi2_statistic, 'dof', CAST(dof AS DOUBLE)) AS (metric, value)"),
         ),
-        _baseline_accuracy(star).select(
+        ts_model_comparison(star).filter(F.col("model").isin(NAIVE, MOVING_AVERAGE)).select(
             F.concat(F.lit("forecast_"), "model").alias("section"),
             F.expr("stack(2, 'mae', mae, 'rmse', rmse) AS (metric, value)"),
         ),
@@ -762,12 +764,41 @@ def stats_mean_ci(star: Star) -> DataFrame:
 # --- forecasting -------------------------------------------------------------------------
 
 
+# Where tables that several queries share are stored, by session, version of the data and name.
+_SHARED: dict[tuple, str] = {}
+
+
+def _version(star: Star) -> tuple:
+    """The session and the files of the folder's tables with their sizes and times: other data, another key."""
+    return (star.spark.sparkContext.applicationId, star.sf_dir, files.listing(star.spark, star.sf_dir))
+
+
+def _once(star: Star, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per session and version of the folder's tables, then only read."""
+    key = (*_version(star), name)
+    if key not in _SHARED:
+        path = scratch_path(star.spark, name)
+        build().write.parquet(path)
+        _SHARED[key] = path
+    return star.spark.read.parquet(_SHARED[key])
+
+
 def _units(star: Star, key: str | None = None) -> DataFrame:
     return star.fact("order_date", "order_item_quantity", *([key] if key else []))
 
 
+def _months(star: Star, key: str | None = None) -> DataFrame:
+    """Units per month of each series, stored."""
+    return _once(star, f"months-{key}", lambda: ts.monthly_series(_units(star, key), key))
+
+
+def _weeks(star: Star, key: str | None = None) -> DataFrame:
+    """Units per week of each series, stored."""
+    return _once(star, f"weeks-{key}", lambda: ts.ts_weekly_demand(_units(star, key), key))
+
+
 def _complete_months(star: Star, key: str | None = None) -> DataFrame:
-    return ts.ts_exclude_tail(ts.monthly_series(_units(star, key), key), MONTH_CUTOFF)
+    return ts.ts_exclude_tail(_months(star, key), MONTH_CUTOFF)
 
 
 def _month_split(star: Star) -> DataFrame:
@@ -781,17 +812,17 @@ def ts_monthly_demand(star: Star) -> DataFrame:
 
 @query
 def ts_weekly_demand(star: Star) -> DataFrame:
-    return ts.ts_weekly_demand(_units(star, "product_name"), "product_name")
+    return _weeks(star, "product_name")
 
 
 @query
 def ts_exclude_tail(star: Star) -> DataFrame:
-    return ts.ts_exclude_tail(ts.ts_weekly_demand(_units(star)), WEEK_CUTOFF)
+    return ts.ts_exclude_tail(_weeks(star), WEEK_CUTOFF)
 
 
 @query
 def ts_excluded_periods(star: Star) -> DataFrame:
-    return ts.ts_excluded_periods(ts.monthly_series(_units(star)), MONTH_CUTOFF)
+    return ts.ts_excluded_periods(_months(star), MONTH_CUTOFF)
 
 
 @query
@@ -816,18 +847,30 @@ def ts_holt_winters(star: Star) -> DataFrame:
 
 @query
 def ts_holt_winters_weekly(star: Star) -> DataFrame:
-    series = ts.ts_exclude_tail(ts.ts_weekly_demand(_units(star)), WEEK_CUTOFF)
+    """Weekly fits of every product, and of the company total as one series among them."""
+    series = ts.ts_exclude_tail(_weeks(star, "product_name").unionByName(_weeks(star)), WEEK_CUTOFF)
     return ts.ts_holt_winters(ts.ts_time_split(series, TEST_WEEKS), TEST_WEEKS, "week")
 
 
-@query
-def ts_refit_forward(star: Star) -> DataFrame:
-    return ts.ts_refit_forward(_complete_months(star, "category_name"), HORIZON)
+# Where the fitted states of a session and folder are kept, and the version of the data they are of.
+_STATES: dict[tuple, str] = {}
+_STATES_OF: dict[str, tuple] = {}
 
 
-def _baseline_accuracy(star: Star) -> DataFrame:
-    split = ts.ts_time_split(_complete_months(star), TEST_MONTHS)
-    return ts.ts_accuracy(ts.ts_naive_forecast(split).unionByName(ts.ts_moving_average_forecast(split)))
+def _forecasts(star: Star) -> ForecastStore:
+    """States of all categories and of the total; new data refits the series that it changes."""
+    place = (star.spark.sparkContext.applicationId, star.sf_dir)
+    root = _STATES.setdefault(place, scratch_path(star.spark, "forecast-states"))
+    store = ForecastStore(star.spark, root)
+    if _STATES_OF.get(root) != _version(star):
+        store.refresh(_complete_months(star, "category_name").unionByName(_complete_months(star)))
+        _STATES_OF[root] = _version(star)
+    return store
+
+
+@query
+def ts_refit_forward(star: Star) -> DataFrame:
+    return _forecasts(star).forward(HORIZON).filter("series_key <> 'all'")
 
 
 def _category_accuracy(star: Star) -> DataFrame:
@@ -835,30 +878,64 @@ def _category_accuracy(star: Star) -> DataFrame:
     return ts.ts_accuracy(ts.ts_naive_forecast(split).unionByName(ts.ts_moving_average_forecast(split)))
 
 
+def _tested(star: Star) -> DataFrame:
+    """Test months of every category under all three models, stored."""
+    return _once(star, "month-tests", lambda: ts.ts_model_predictions(_month_split(star), TEST_MONTHS))
+
+
+def _best(star: Star) -> DataFrame:
+    return ts.ts_best_model(ts.ts_accuracy(_tested(star)))
+
+
+def _forward(star: Star) -> DataFrame:
+    """The months to come of every category by its best model, stored."""
+    return _once(star, "forward", lambda: ts.ts_forward(_complete_months(star, "category_name"), _best(star), HORIZON))
+
+
 @query
 def ts_accuracy(star: Star) -> DataFrame:
     return _category_accuracy(star)
 
 
+@query
+def ts_accuracy_models(star: Star) -> DataFrame:
+    return ts.ts_accuracy(_tested(star))
+
+
 @query
 def ts_best_model(star: Star) -> DataFrame:
-    return ts.ts_best_model(_category_accuracy(star))
+    """The best of all three models per category."""
+    return _best(star)
+
+
+@query
+def ts_best_baseline(star: Star) -> DataFrame:
+    """The better of the two models without a fit."""
+    baselines = _tested(star).filter(F.col("model").isin(NAIVE, MOVING_AVERAGE))
+    return ts.ts_best_model(ts.ts_accuracy(baselines))
 
 
 @query
 def ts_model_comparison(star: Star) -> DataFrame:
     """Accuracy of all three models on the company total."""
-    split = ts.ts_time_split(_complete_months(star), TEST_MONTHS)
-    frames = [
-        ts.ts_naive_forecast(split),
-        ts.ts_moving_average_forecast(split),
-        ts.ts_holt_winters(split, TEST_MONTHS),
-    ]
-    return ts.ts_accuracy(reduce(DataFrame.unionByName, frames))
+    return ts.ts_accuracy(ts.ts_model_predictions(ts.ts_time_split(_complete_months(star), TEST_MONTHS), TEST_MONTHS))
+
+
+@query
+def ts_forward_best(star: Star) -> DataFrame:
+    """The months to come of every category, by its best model refitted on all months."""
+    return _forward(star)
 
 
 @query
 def ts_planning_signal(star: Star) -> DataFrame:
+    """The next four months by the best model against the last four."""
+    return ts.ts_planning_signal(_complete_months(star, "category_name"), _forward(star).drop("model"))
+
+
+@query
+def ts_planning_signal_naive(star: Star) -> DataFrame:
+    """The held-out months by their naive forecast against the last four training months."""
     split = _month_split(star)
     train = split.filter(F.col("part") == "train").select("series_key", "period", "y")
     return ts.ts_planning_signal(train, ts.ts_naive_forecast(split).select("series_key", "period", "y_hat"))
@@ -866,21 +943,37 @@ def ts_planning_signal(star: Star) -> DataFrame:
 
 @query
 def ts_actual_vs_forecast(star: Star) -> DataFrame:
-    split = _month_split(star)
-    return ts.ts_actual_vs_forecast(split, [ts.ts_naive_forecast(split), ts.ts_moving_average_forecast(split)])
+    """Train, test, every model on the test months, and the months to come."""
+    return ts.ts_actual_vs_forecast(_month_split(star), [_tested(star)], _forward(star))
 
 
 @query
-def ts_flatline_check(star: Star) -> DataFrame:
-    return ts.ts_flatline_check(ts.ts_weekly_demand(_units(star, "category_name"), "category_name"))
+def ts_actual_vs_forecast_baselines(star: Star) -> DataFrame:
+    """The rows of the feed that no fit has a part in."""
+    return ts_actual_vs_forecast(star).filter(F.col("series").isin("actual_train", "actual_test", NAIVE, MOVING_AVERAGE))
 
 
-# --- late-delivery models ----------------------------------------------------------------
+@query
+def ts_forward_periods(star: Star) -> DataFrame:
+    """Which rows of the chart feed come from fits: series, month and kind, without their values."""
+    fitted = ts_actual_vs_forecast(star).filter(~F.col("series").isin("actual_train", "actual_test", NAIVE, MOVING_AVERAGE))
+    ahead = F.col("series").startswith("forward_")
+    kind = F.when(ahead, "forward").otherwise(F.col("series"))
+    return fitted.select("series_key", "period", kind.alias("kind"), F.col("value").isNotNull().alias("has_value"))
 
 
-def _version(star: Star) -> tuple:
-    """The session and the files of the folder's tables with their sizes and times: other data, another key."""
-    return (star.spark.sparkContext.applicationId, star.sf_dir, files.listing(star.spark, star.sf_dir))
+@query
+def ts_refit_forward_periods(star: Star) -> DataFrame:
+    """Series, month and model of the stored forecasts."""
+    return _forecasts(star).forward(HORIZON).select("series_key", "period", "model", F.col("y_hat").isNotNull().alias("has_value"))
+
+
+@query
+def ts_flatline_check(star: Star) -> DataFrame:
+    return ts.ts_flatline_check(_weeks(star, "category_name"))
+
+
+# --- late-delivery models ----------------------------------------------------------------
 
 
 def _ml_fact(star: Star, variant: str = "A") -> DataFrame:
@@ -919,8 +1012,8 @@ _FITTED: dict[tuple, PipelineModel] = {}
 
 def forget(fact: bool = True) -> None:
     """Drop what queries share within a session: fitted models, feature tables and, with ``fact``, the stored fact."""
-    _FITTED.clear()
-    _FEATURES.clear()
+    for kept in (_FITTED, _FEATURES, _SHARED, _STATES, _STATES_OF):
+        kept.clear()
     if fact:
         star_module._FACTS.clear()
 
@@ -1173,7 +1266,12 @@ def region_kpis_one(star: Star) -> DataFrame:
 
 @query
 def forecast_lookup(star: Star) -> DataFrame:
-    forward = ts.ts_refit_forward(
-        _complete_months(star, "category_name").unionByName(_complete_months(star)), HORIZON
-    )
-    return ts.forecast_lookup(forward, "brand#7")
+    return _forecasts(star).lookup("brand#7", HORIZON)
+
+
+@query
+def forecast_lookup_periods(star: Star) -> DataFrame:
+    """Which months a lookup gives, for a series by another case and for the total in its place."""
+    found = [_forecasts(star).lookup(name, HORIZON).withColumn("asked", F.lit(name)) for name in ("brand#7", "nothing")]
+    rows = found[0].unionByName(found[1])
+    return rows.select("asked", "series_key", "period", "model", F.col("y_hat").isNotNull().alias("has_value"))
