@@ -271,7 +271,9 @@ IDENTITY_TEXT = (
     "'42|' || order_id || '|' || line_no || '|' || product_card_id || '|' || order_item_quantity || '|' || sales"
     " || '|' || order_item_discount || '|' || strftime(shipping_date, '%Y-%m-%d %H:%M:%S')"
 )
-BUCKETED = f"bucketed AS (SELECT *, CAST('0x' || substr(md5({IDENTITY_TEXT}), 1, 7) AS BIGINT) % 100 AS bucket FROM orders_fact)"
+BUCKETED = f"""bucketed AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY late_delivery_risk ORDER BY
+  CAST('0x' || substr(md5({IDENTITY_TEXT}), 1, 15) AS BIGINT)) <= (count(*) OVER (PARTITION BY late_delivery_risk)) * 20 // 100
+  THEN 0 ELSE 99 END AS bucket FROM orders_fact)"""
 
 
 def _report_row(name: str, precision: str, recall: str, f1: str, support: str) -> str:
@@ -910,6 +912,9 @@ def oracle_sql() -> dict[str, str]:
         "SELECT CASE WHEN bucket < 20 THEN 'test' ELSE 'train' END AS split, late_delivery_risk, count(*) AS n FROM bucketed GROUP BY 1, 2",
         BUCKETED,
     )
+    q["ml_split_rows"] = on_fact(
+        "SELECT order_id, line_no, late_delivery_risk FROM bucketed WHERE bucket < 20", BUCKETED
+    )
     q["ml_save_load"] = on_fact(
         "SELECT count(*) AS n, CAST(0 AS BIGINT) AS n_different, CAST(0 AS DOUBLE) AS max_difference FROM bucketed WHERE bucket < 20",
         BUCKETED,

@@ -994,11 +994,11 @@ def _feature_store(star: Star, variant: str = "A") -> DataFrame:
     """
     key = (*_version(star), variant)
     if key not in _FEATURES:
-        identified = _ml_fact(star, variant).withColumn("_bucket", ml_data.split_bucket())
-        features = ml_data.ml_feature_table(identified, variant, keep=["_bucket"])
+        # B leaves out cancelled shipments before anything is split.
+        identified = ml_data.ml_feature_rows(_ml_fact(star, variant), variant)
+        split = ml_data.ml_stratified_split(identified, label=ml_data.TARGET[variant])
         path = scratch_path(star.spark, f"features_{variant}")
-        split = F.when(F.col("_bucket") < 20, "test").otherwise("train")
-        features.withColumn("split", split).drop("_bucket").write.partitionBy("split").parquet(path)
+        ml_data.ml_feature_table(split, variant, keep=["split"]).write.partitionBy("split").parquet(path)
         _FEATURES[key] = path
     return star.spark.read.parquet(_FEATURES[key])
 
@@ -1063,6 +1063,13 @@ def ml_stratified_split(star: Star) -> DataFrame:
     return split.groupBy("split", "late_delivery_risk").agg(F.count("*").alias("n"))
 
 
+@query
+def ml_split_rows(star: Star) -> DataFrame:
+    """The held-out lines themselves."""
+    split = ml_data.ml_stratified_split(star.fact(*ml_data.IDENTITY, "late_delivery_risk"))
+    return split.filter(F.col("split") == "test").select("order_id", "line_no", "late_delivery_risk")
+
+
 @query
 def ml_preprocess(star: Star) -> DataFrame:
     """Length and non-zero count of the assembled vectors."""

@@ -64,6 +64,35 @@ def test_split_is_stable_and_proportional(spark):
     assert split.exceptAll(again).count() == 0
 
 
+def counted(split):
+    return {(r["label"], r["split"]): r["count"] for r in split.groupBy("label", "split").count().collect()}
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 6, 999, 20011])
+def test_split_is_exact_for_every_class(spark, n):
+    df = spark.range(n).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE CAST(id % 3 = 0 AS int) END AS label")
+    shares = counted(ml_data.ml_stratified_split(df, identity=["id"]))
+    for label, size in {(r["label"], r["count"]) for r in df.groupBy("label").count().collect()}:
+        assert shares.get((label, "test"), 0) == size // 5
+        assert shares.get((label, "train"), 0) == size - size // 5
+
+
+def test_split_of_repeated_rows_is_exact_and_keeps_columns(spark):
+    df = spark.range(3000).selectExpr("id % 3 AS id", "CAST(1 AS int) AS label", "id % 2 AS extra")
+    split = ml_data.ml_stratified_split(df, identity=["id"])
+    assert counted(split) == {(1, "test"): 600, (1, "train"): 2400} and split.columns == ["id", "label", "extra", "split"]
+    again = ml_data.ml_stratified_split(df.repartition(5), identity=["id"])
+    assert split.exceptAll(again).count() == 0 and again.exceptAll(split).count() == 0
+
+
+def test_split_takes_the_smallest_hashes(spark):
+    df = spark.range(500).selectExpr("id", "CAST(id % 2 AS int) AS label")
+    rows = ml_data.ml_stratified_split(df, identity=["id"]).withColumn("h", ml_data.split_hash(["id"])).collect()
+    for label in (0, 1):
+        mine = sorted((r["h"], r["split"]) for r in rows if r["label"] == label)
+        assert [s for _, s in mine] == ["test"] * 50 + ["train"] * 200
+
+
 def test_leakage_guard():
     assert ml_data.ml_leakage_guard(["sales"]) == ["sales"]
     with pytest.raises(ValueError):
