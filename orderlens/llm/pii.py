@@ -82,7 +82,7 @@ _SPELLED = (
 )
 _PERSON = r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?+"
 
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _IP_VALID = f"x.found rlike r'^(?:{_PART}[.]){{3}}{_PART}$'"
 _CARD_VALID = f"if(length({_DIGITS}) between 14 and 19, {_luhn(_DIGITS)}, false)"
 _PHONE_VALID = f"length({_DIGITS}) between 10 and 15"

@@ -44,7 +44,7 @@ def base(text):
 
 def texts(seed):
     pick = random.Random(seed)
-    parts = ["a@b.c", "_x@d.e", "x@y", "@", "1.2.3.4", "01.002.3.255", "1.2.3.256", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (310) 555-4510"]
+    parts = ["a@b.c", "_x@d.e", "x@y", "@", "1.2.3.4", "01.002.3.255", "1.2.3.256", "1.2.3.4.5.6.7.8", "10.0.0.1", "192.168.0.10", "0.0.0.0", "00.000.0.255", "0.0.0.00256", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (310) 555-4510"]
     parts += ["+49 30 1234", "+", "12", " ", "\n", ".", "-", "é", "🙂", "AKIA", "(310) 555-4510", "123-45-6789", "@example.com", "user.name+tag", "%", "0" * 30]
     return [None, ""] + ["".join(pick.choice(parts) + pick.choice(["", "", " "]) for _ in range(pick.randrange(30))) for _ in range(400)]
 
