@@ -112,17 +112,24 @@ class WordEncoder:
 
     Texts that neither begin nor end with white space, but for one first blank, are joined by line
     feeds, which the split pattern makes pieces of their own; the ids are cut at the line feed's id.
+    Texts that hold an added token are encoded alone, as such tokens are cut out before the pattern.
     """
 
     def __init__(self, tokenizer: tokenizers.Tokenizer):
         self._tokenizer = tokenizer
+        self._added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._feed = self._ids(["\n"])[0][0]
 
     def _ids(self, texts: Sequence[str]) -> list[list[int]]:
         return [x.ids for x in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: Sequence[str]) -> list[bytes]:
-        joined = [k for k, t in enumerate(texts) if t and not t[-1].isspace() and (t[0] == " " or not t[0].isspace()) and "\n" not in t]
+        joined = [
+            k
+            for k, t in enumerate(texts)
+            if t and not t[-1].isspace() and (t[0] == " " or not t[0].isspace()) and "\n" not in t
+            and not any(a in t for a in self._added)
+        ]
         out: list[bytes] = [b""] * len(texts)
         alone = sorted(set(range(len(texts))).difference(joined))
         for k, ids in zip(alone, self._ids([texts[k] for k in alone]), strict=True):
@@ -148,7 +155,6 @@ def coder(vocabulary: str) -> TextCoder:
     if key not in _CODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         tokenizer = tokenizers.Tokenizer.from_str(vocabulary)
-        tokenizer.encode_special_tokens = True
         _CODERS[key] = TextCoder(WordEncoder(tokenizer), kept=_KEPT_WORDS)
     return _CODERS[key]
 
@@ -160,8 +166,9 @@ def pack_documents(
 
     Columns: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, with
     ``keep_ids``, the piece's ``ids`` (little-endian unsigned 32-bit). ``vocabulary`` is the content
-    of a tokenizers file of a byte-level vocabulary, whose size is fixed. Special tokens in a text are
-    plain text. No shuffle: a partition is packed where it is read, and a lost task packs
+    of a tokenizers file of a byte-level vocabulary, whose size is fixed. Ids are those of a plain call
+    without special tokens of its own, so an added token that a text spells out has its one id; such
+    tokens may hold no white space. No shuffle: a partition is packed where it is read, and a lost task packs
     the same rows anew with the same sequence numbers. A null text counts as empty (the closing id
     alone), a null ``doc_id`` stays null, repeated rows are packed each, other columns are not read.
     ``size`` is a power of two.

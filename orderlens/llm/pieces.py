@@ -11,8 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 import regex
 
+from .terms import binaries
+
 #: Turns texts into ids, as little-endian unsigned 32-bit integers.
 Encode = Callable[[Sequence[str]], list[bytes]]
 
@@ -22,39 +26,48 @@ _LONGEST_KEPT = 64
 
 
 class TextCoder:
-    """Ids of texts; at most about ``kept`` words are remembered, after which the memory starts anew."""
+    """Ids of texts; at most about ``kept`` words are remembered, after which the memory starts anew.
+
+    Words of the texts of a call are gathered as one Arrow array and made distinct there; only distinct
+    words are looked up one by one.
+    """
 
     def __init__(self, encode: Encode, kept: int = 500_000):
         self._encode, self._kept = encode, kept
-        self._words: dict[str, bytes] = {}
+        self._words: dict[bytes, bytes] = {}
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text."""
         words = self._words
         if len(words) > self._kept:
             words.clear()
-        cut: list[list[str]] = []
-        whole: list[int] = []
-        seen: set[str] = set()
-        for k, text in enumerate(texts):
-            if _TWO_SPACES.search(text):
-                cut.append([])
-                whole.append(k)
-                continue
-            # A carriage return marks a word with no blank before it: the first one and those after
-            # a line feed. Elsewhere a word cannot begin with one here.
-            parts = ("\r" + text.replace("\n", " \n \r")).split(" ")
-            seen.update(parts)
-            cut.append(parts)
-        new = [w for w in seen if w not in words]
-        shown = ["\n" if w == "\n" else w[1:] if w[:1] == "\r" else " " + w for w in new]
-        found = self._encode([*shown, *(texts[k] for k in whole)])
-        local = dict(zip(new, found, strict=False))
-        words.update(local)
-        get = words.__getitem__
-        out = [b"".join(map(get, parts)) for parts in cut]
-        for k, ids in zip(whole, found[len(new) :], strict=True):
-            out[k] = ids
+        whole = [k for k, text in enumerate(texts) if _TWO_SPACES.search(text)]
+        aside = set(whole)
+        cut = [k for k in range(len(texts)) if k not in aside]
+        raw = [texts[k].encode() for k in cut]
+        bounds = np.zeros(len(raw) + 1, dtype=np.int64)
+        np.cumsum([len(t) for t in raw], out=bounds[1:])
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        # A word begins at its blank, a line feed is a word, and one begins after it and with the text.
+        feed = data == 0x0A
+        begins = feed | (data == 0x20)
+        begins[1:] |= feed[:-1]
+        begins[bounds[:-1][bounds[:-1] < len(data)]] = True
+        starts = np.flatnonzero(begins)
+        coded = binaries(data, np.r_[starts, len(data)]).dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [w for w in names if w not in words]
+        found = self._encode([*(w.decode() for w in new), *(texts[k] for k in whole)])
+        words.update(zip(new, found, strict=False))
+        ids = pa.array([words[w] for w in names], pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, dtype=np.int64)
+        content = ids.buffers()[2].to_pybytes() if len(ids) and ids.buffers()[2] else b""
+        edges = ends[np.searchsorted(starts, bounds)].tolist()
+        out: list[bytes] = [b""] * len(texts)
+        for k, first, end in zip(cut, edges, edges[1:], strict=False):
+            out[k] = content[first:end]
+        for k, one in zip(whole, found[len(new) :], strict=True):
+            out[k] = one
         for w in new:
             if len(w) > _LONGEST_KEPT:
                 del words[w]

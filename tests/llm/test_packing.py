@@ -14,9 +14,7 @@ from orderlens.llm import packing
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check(rows, ids_of, size):
@@ -66,6 +64,20 @@ def test_rows_of_any_kind(spark, tokenizer):
         packing.pack_documents(docs, "", size=1000)
 
 
+def test_control_strings_as_in_a_plain_call(tokenizer):
+    """Texts with added tokens, odd white space and no blanks have the ids of one plain call each."""
+    pick = random.Random(3)
+    end = "<|endoftext|>"
+    parts = [end, end + end, " " + end, "\n" + end, end + "\n", "a", " b", "don't", " 't", "\n", " ", "\t", "é", "日本", "\r", "\u00a0", "\u3000x", "<|", "endoftext|>", "12", "."]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randrange(12))) for _ in range(4000)]
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        coder = packing.coder(file.read())
+    for first in range(0, len(texts), 100):
+        some = texts[first : first + 100]
+        for text, ids in zip(some, coder.encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_rule_by_brute_force():
     pick = random.Random(1)
     for _ in range(300):
