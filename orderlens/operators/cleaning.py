@@ -20,6 +20,7 @@ from ..schema import (
     TRIMMED_COLUMNS_SHORT,
 )
 from . import quality
+from .duplicates import distinct_rows
 
 DATE_COLUMNS = ("order_date", "shipping_date")
 # Date layouts accepted by parsing, tried in this order.
@@ -37,9 +38,9 @@ def fill_nulls(df: DataFrame, column: str = "customer_zipcode", value: int = -1)
     return df.withColumn(column, F.coalesce(F.col(column).cast("int"), F.lit(value)))
 
 
-def dedupe(df: DataFrame) -> DataFrame:
-    """Without exact repeats of a row. Repeats are combined before the shuffle."""
-    return df.distinct()
+def dedupe(df: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Without exact repeats of a row; only rows with a repeated fingerprint are shuffled."""
+    return distinct_rows(df, store=store)
 
 
 def parse_dates(
@@ -149,11 +150,11 @@ def clean_run(
     A: fill zip with -1, clip days, keep all rows, flag. B: fill zip with 0, drop rows
     with negative sales or no quantity, flag, status-based lateness.
 
-    Removing duplicates shuffles whole rows, and outlier flags read the outcome three
-    times. ``store`` may write those rows to a table and return it read back, so that the
-    shuffle happens once and the quartiles read only their own columns.
+    Removing duplicates reads the rows twice, and outlier flags read the outcome three times.
+    ``store`` may write rows to a table and return it read back: it gets the rows with their
+    fingerprints, and the few rows compared as a whole, so later reads need only their own columns.
     """
-    df = store(dedupe(fill_nulls(drop_columns(df), value=-1 if variant == "A" else 0)))
+    df = dedupe(fill_nulls(drop_columns(df), value=-1 if variant == "A" else 0), store)
     df = parse_dates(df)
     if variant == "A":
         df = flag_cancelled(trim_text(clip_days(df)))

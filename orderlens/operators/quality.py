@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import count_when, ratio
 from ..schema import CANCELLED_STATUSES
+from .duplicates import count_repeated
 
 
 def _long(row: DataFrame, check: str) -> DataFrame:
@@ -56,8 +57,7 @@ def dq_missing_values(df: DataFrame) -> DataFrame:
 
 def dq_duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows equal to an earlier row: all rows less distinct rows."""
-    groups = df.groupBy(*df.columns).agg(F.count("*").alias("_n"))
-    return _long(groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("all_columns")), "duplicate_rows")
+    return _long(count_repeated(df).withColumnRenamed("n", "all_columns"), "duplicate_rows")
 
 
 def dq_unparseable_dates(df: DataFrame, columns: Sequence[str] = ("order_date", "shipping_date")) -> DataFrame:

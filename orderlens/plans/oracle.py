@@ -5,7 +5,7 @@ Rounding goes through DECIMAL so that a value such as 0.145 rounds half up, as S
 
 from __future__ import annotations
 
-from ..schema import CORRELATED_COLUMNS, CORRELATED_COLUMNS_WIDE, DESCRIBED_COLUMNS, OUTLIER_COLUMNS_A
+from ..schema import CORRELATED_COLUMNS, CORRELATED_COLUMNS_SHORT, CORRELATED_COLUMNS_WIDE, DESCRIBED_COLUMNS, OUTLIER_COLUMNS_A
 
 LAST_COMPLETE_MONTH = "2001-07"
 MONTH_CUTOFF = "2001-07-31"
@@ -531,46 +531,48 @@ def oracle_sql() -> dict[str, str]:
     q["clean_run"] = on_raw("SELECT * FROM cleaned", *CLEAN_A)
     q["clean_run_alt"] = on_raw("SELECT * FROM cleaned", *CLEAN_B)
     slim = ", ".join(SLIM_NAMES)
-    log = [
-        _checks("raw_shape", [("rows", "(SELECT count(*) FROM raw)"), ("columns", str(len(RAW_NAMES)))], "(SELECT 1)"),
-        _checks(
-            "grain",
-            [
-                ("n_rows", "n"),
-                ("n_unique_orders", "o"),
-                ("n_unique_line_keys", "k"),
-                ("overstatement_pct", r("(n / CAST(o AS DOUBLE) - 1) * 100", 1)),
-                ("avg_items_per_order", quot("n", "o", 3)),
-            ],
-            "(SELECT count(*) AS n, count(DISTINCT order_id) AS o, (SELECT count(*) FROM (SELECT DISTINCT order_id, line_no FROM raw)) AS k FROM raw)",
-        ),
-        f"SELECT * FROM ({_checks('missing_values', [(c, f'(SELECT count(*) FROM raw WHERE {c} IS NULL)') for c in RAW_NAMES], '(SELECT 1)')}) WHERE value > 0",
-        _checks(
-            "duplicate_rows",
-            [("all_columns", f"(SELECT count(*) FROM raw) - (SELECT count(*) FROM (SELECT DISTINCT {slim} FROM raw))")],
-            "(SELECT 1)",
-        ),
-        _checks(
-            "unparseable_dates",
-            [("order_date", "o"), ("shipping_date", "s"), ("total", "o + s")],
-            f"(SELECT count(*) FILTER (WHERE {_dates('order_date')} IS NULL) AS o, count(*) FILTER (WHERE {_dates('shipping_date')} IS NULL) AS s FROM uniq)",
-        ),
-        _checks(
-            "invalid_numeric",
-            [(c, f"(SELECT count(*) FROM uniq WHERE {c} < 0)") for c in ("sales", "order_item_quantity", "product_price", "days_for_shipping_real")],
-            "(SELECT 1)",
-        ),
-        _checks("cancelled_or_fraud_rows", [("order_status", "(SELECT count(*) FROM cleaned WHERE is_cancelled_or_fraud)")], "(SELECT 1)"),
-        "SELECT 'order_status', order_status, CAST(count(*) AS DOUBLE) FROM cleaned GROUP BY 2",
-        "SELECT 'delivery_status', delivery_status, CAST(count(*) AS DOUBLE) FROM cleaned GROUP BY 2",
-        _checks("iqr_outliers", [(c, f"(SELECT count(*) FROM cleaned WHERE outlier_{c})") for c in OUTLIER_COLUMNS_A], "(SELECT 1)"),
-        _checks(
-            "cleaned_shape",
-            [("rows", "(SELECT count(*) FROM cleaned)"), ("columns", str(len(SLIM_NAMES) + 1 + 4 + 4 + 1))],
-            "(SELECT 1)",
-        ),
-    ]
-    q["quality_log"] = on_raw(" UNION ALL ".join(log), *CLEAN_A)
+    def log(a: bool) -> list[str]:
+        return [
+            _checks("raw_shape", [("rows", "(SELECT count(*) FROM raw)"), ("columns", str(len(RAW_NAMES)))], "(SELECT 1)"),
+            _checks(
+                "grain",
+                [
+                    ("n_rows", "n"),
+                    ("n_unique_orders", "o"),
+                    ("n_unique_line_keys", "k"),
+                    ("overstatement_pct", r("(n / CAST(o AS DOUBLE) - 1) * 100", 1)),
+                    ("avg_items_per_order", quot("n", "o", 3)),
+                ],
+                "(SELECT count(*) AS n, count(DISTINCT order_id) AS o, (SELECT count(*) FROM (SELECT DISTINCT order_id, line_no FROM raw)) AS k FROM raw)",
+            ),
+            f"SELECT * FROM ({_checks('missing_values', [(c, f'(SELECT count(*) FROM raw WHERE {c} IS NULL)') for c in (RAW_NAMES if a else SLIM_NAMES)], '(SELECT 1)')}) WHERE value > 0",
+            _checks(
+                "duplicate_rows",
+                [("all_columns", f"(SELECT count(*) FROM raw) - (SELECT count(*) FROM (SELECT DISTINCT {slim} FROM raw))")],
+                "(SELECT 1)",
+            ),
+            _checks(
+                "unparseable_dates",
+                [("order_date", "o"), ("shipping_date", "s"), ("total", "o + s")],
+                f"(SELECT count(*) FILTER (WHERE {_dates('order_date')} IS NULL) AS o, count(*) FILTER (WHERE {_dates('shipping_date')} IS NULL) AS s FROM uniq)",
+            ),
+            _checks(
+                "invalid_numeric",
+                [(c, f"(SELECT count(*) FROM uniq WHERE {c} {'<' if a or c != 'order_item_quantity' else '<='} 0)") for c in ("sales", "order_item_quantity", "product_price", "days_for_shipping_real")],
+                "(SELECT 1)",
+            ),
+            _checks("cancelled_or_fraud_rows", [("order_status", "(SELECT count(*) FROM cleaned WHERE order_status IN ('CANCELED','SUSPECTED_FRAUD'))")], "(SELECT 1)"),
+            "SELECT 'order_status', order_status, CAST(count(*) AS DOUBLE) FROM cleaned GROUP BY 2",
+            "SELECT 'delivery_status', delivery_status, CAST(count(*) AS DOUBLE) FROM cleaned GROUP BY 2",
+            _checks("iqr_outliers", [(c, f"(SELECT count(*) FROM cleaned WHERE outlier_{c})") for c in (OUTLIER_COLUMNS_A if a else OUTLIERS_B)], "(SELECT 1)"),
+            _checks(
+                "cleaned_shape",
+                [("rows", "(SELECT count(*) FROM cleaned)"), ("columns", str(len(SLIM_NAMES) + (1 + 4 + 4 + 1 if a else 4 + 4 + 2 + 1)))],
+                "(SELECT 1)",
+            ),
+        ]
+    q["quality_log"] = on_raw(" UNION ALL ".join(log(True)), *CLEAN_A)
+    q["quality_log_alt"] = on_raw(" UNION ALL ".join(log(False)), *CLEAN_B)
 
     # business queries
     q["q01_totals"] = on_fact(
@@ -774,6 +776,7 @@ def oracle_sql() -> dict[str, str]:
     # statistics
     q["stats_describe"] = on_fact(" UNION ALL ".join(_describe(c) for c in DESCRIBED_COLUMNS))
     q["stats_correlation"] = _corr(CORRELATED_COLUMNS, 3)
+    q["stats_correlation_alt"] = _corr(CORRELATED_COLUMNS_SHORT, 3)
     # The F tail with an even second degree of freedom is a finite sum of beta terms; with an
     # odd one the same sum runs to the next integer, which changes p by less than one in the
     # last digit shown at these sizes.

@@ -32,6 +32,7 @@ from ..operators.forecast_store import ForecastStore
 from ..operators.holt_winters import MOVING_AVERAGE, NAIVE
 from ..schema import (
     CORRELATED_COLUMNS,
+    CORRELATED_COLUMNS_SHORT,
     CORRELATED_COLUMNS_WIDE,
     DESCRIBED_COLUMNS,
     DIM_PRODUCT_COLUMNS,
@@ -74,6 +75,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 KEYS = ("order_id", "line_no", "product_card_id")
 
 
+# Where tables that several queries share are stored, by session, version of the data and name.
+_SHARED: dict[tuple, str] = {}
+
+
+def _version(star: Star) -> tuple:
+    """The session and the files of the folder's tables with their sizes and times: other data, another key."""
+    return (star.spark.sparkContext.applicationId, star.sf_dir, files.listing(star.spark, star.sf_dir))
+
+
+def _once(star: Star, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table written once per session and version of the folder's tables, then only read."""
+    key = (*_version(star), name)
+    if key not in _SHARED:
+        path = scratch_path(star.spark, name)
+        build().write.parquet(path)
+        _SHARED[key] = path
+    return star.spark.read.parquet(_SHARED[key])
+
+
+def _raw(star: Star) -> DataFrame:
+    """The uncleaned extract, joined and written once."""
+    return _once(star, "raw", star.raw)
+
+
 def _dim_product(star: Star) -> DataFrame:
     return dimensions.dim_product(star.fact(*DIM_PRODUCT_COLUMNS, distinct=True))
 
@@ -280,7 +305,7 @@ _DEDUPE = (*KEYS, "sales", "order_item_quantity", "order_date", "order_region")
 
 @query
 def dq_duplicate_rows(star: Star) -> DataFrame:
-    return quality.dq_duplicate_rows(star.raw())
+    return quality.dq_duplicate_rows(_raw(star))
 
 
 @query
@@ -401,20 +426,30 @@ def _doubles(df: DataFrame) -> DataFrame:
 
 @query
 def clean_run(star: Star) -> DataFrame:
-    return _doubles(cleaning.clean_run(star.raw(), "A", lambda df: files.stored(df, "unique_rows")))
+    return _doubles(cleaning.clean_run(star.raw(), "A", lambda df: files.stored(df, "marked_rows")))
 
 
 @query
 def clean_run_alt(star: Star) -> DataFrame:
-    return _doubles(cleaning.clean_run(star.raw(), "B", lambda df: files.stored(df, "unique_rows")))
+    return _doubles(cleaning.clean_run(star.raw(), "B", lambda df: files.stored(df, "marked_rows")))
 
 
 @query
 def quality_log(star: Star) -> DataFrame:
-    """The log of a cleaning run over stored raw and cleaned tables."""
-    raw = files.stored(star.raw(), "raw")
-    cleaned = cleaning.clean_run(raw, "A", lambda df: files.stored(df, "unique_rows"))
-    return cleaning.quality_log(raw, "A", files.stored(cleaned, "cleaned"))
+    """The log of the first variant, over stored raw and cleaned tables."""
+    return _quality_log(star, "A")
+
+
+@query
+def quality_log_alt(star: Star) -> DataFrame:
+    """The log of the second variant."""
+    return _quality_log(star, "B")
+
+
+def _quality_log(star: Star, variant: str) -> DataFrame:
+    raw = _raw(star)
+    cleaned = cleaning.clean_run(raw, variant, lambda df: files.stored(df, "marked_rows"))
+    return cleaning.quality_log(raw, variant, files.stored(cleaned, "cleaned"))
 
 
 # --- business queries --------------------------------------------------------------------
@@ -741,6 +776,12 @@ def stats_correlation(star: Star) -> DataFrame:
     return statistics.stats_correlation(star.fact(*CORRELATED_COLUMNS), CORRELATED_COLUMNS)
 
 
+@query
+def stats_correlation_alt(star: Star) -> DataFrame:
+    """The six columns of the second variant."""
+    return statistics.stats_correlation(star.fact(*CORRELATED_COLUMNS_SHORT), CORRELATED_COLUMNS_SHORT)
+
+
 @query
 def stats_anova(star: Star) -> DataFrame:
     return statistics.stats_anova(star.fact("shipping_mode", "days_for_shipping_real"))
@@ -764,25 +805,6 @@ def stats_mean_ci(star: Star) -> DataFrame:
 # --- forecasting -------------------------------------------------------------------------
 
 
-# Where tables that several queries share are stored, by session, version of the data and name.
-_SHARED: dict[tuple, str] = {}
-
-
-def _version(star: Star) -> tuple:
-    """The session and the files of the folder's tables with their sizes and times: other data, another key."""
-    return (star.spark.sparkContext.applicationId, star.sf_dir, files.listing(star.spark, star.sf_dir))
-
-
-def _once(star: Star, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A table written once per session and version of the folder's tables, then only read."""
-    key = (*_version(star), name)
-    if key not in _SHARED:
-        path = scratch_path(star.spark, name)
-        build().write.parquet(path)
-        _SHARED[key] = path
-    return star.spark.read.parquet(_SHARED[key])
-
-
 def _units(star: Star, key: str | None = None) -> DataFrame:
     return star.fact("order_date", "order_item_quantity", *([key] if key else []))
 
