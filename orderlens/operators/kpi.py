@@ -7,7 +7,8 @@ counts never expand the input.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,9 +183,8 @@ def as_metrics(row: DataFrame, section: str) -> DataFrame:
     )
 
 
-def bi_measures_by_dim(fact: DataFrame, dims: Sequence[str]) -> DataFrame:
-    """The dashboard measures for any slicer columns; rates as fractions of one."""
-    orders = fact.groupBy(*dims, "order_id").agg(
+def _order_grain(fact: DataFrame, dims: Sequence[str]) -> DataFrame:
+    return fact.groupBy(*dims, "order_id").agg(
         F.sum("sales").alias("sales"),
         F.sum("order_item_quantity").alias("units"),
         F.count("*").alias("lines"),
@@ -198,22 +198,88 @@ def bi_measures_by_dim(fact: DataFrame, dims: Sequence[str]) -> DataFrame:
         count_when(_canceled()).alias("canceled"),
     )
 
+
+_SUMMED = ("sales", "units", "lines", "late", "days", "days_lines", "scheduled", "scheduled_lines", "delay", "delay_lines")
+
+
+def _measures(orders: Column, canceled_orders: Column) -> list[Column]:
+    """The dashboard measures over sums of ``_SUMMED``; rates as fractions of one."""
+
     def mean(total: str, lines: str) -> Column:
         return ratio(F.sum(total), F.sum(lines), 6)
 
     late = ratio(F.sum("late"), F.sum("lines"))
-    return orders.groupBy(*dims).agg(
+    return [
         money(F.sum("sales")).alias("revenue"),
-        F.count("order_id").alias("orders"),
+        orders.alias("orders"),
         F.sum("units").alias("units"),
-        ratio(F.sum("sales"), F.count("order_id"), 2).alias("avg_order_value"),
+        ratio(F.sum("sales"), orders, 2).alias("avg_order_value"),
         F.round(late, 6).alias("late_pct"),
         F.round(1 - late, 6).alias("on_time_pct"),
         mean("days", "days_lines").alias("avg_days"),
         mean("scheduled", "scheduled_lines").alias("avg_scheduled"),
         mean("delay", "delay_lines").alias("avg_delay"),
-        ratio(count_when(F.col("canceled") > 0), F.count("order_id"), 6).alias("cancellation_pct"),
+        ratio(canceled_orders, orders, 6).alias("cancellation_pct"),
+    ]
+
+
+def bi_measures_by_dim(fact: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """The dashboard measures for any slicer columns; rates as fractions of one."""
+    orders = _order_grain(fact, dims)
+    return orders.groupBy(*dims).agg(*_measures(F.count("order_id"), count_when(F.col("canceled") > 0)))
+
+
+def bi_measures_cube(fact: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """The dashboard measures for every subset of the slicer columns, from one pass over the fact.
+
+    ``level`` names the columns of a row's subset, comma-joined; columns that are not in it are null.
+    Lines are summed to orders and values once. An order is counted once in each group that any of
+    its lines falls into, whatever the level: where its values stand together, each is marked, for
+    every subset, if no earlier one agrees in that subset. Marks add up, so all levels follow from the
+    sums of the finest one, whose rows are as many as the combinations of the dimensions' values.
+    An order's values are bounded by those combinations, however many lines it has.
+    """
+    subsets = [tuple(d for i, d in enumerate(dims) if not k >> i & 1) for k in range(1 << len(dims))]
+    rows = _order_grain(fact, dims).groupBy("order_id").agg(F.collect_list(F.struct(*dims, *_SUMMED, "canceled")).alias("rows"))
+
+    def agrees(row: Column, subset: tuple[str, ...]) -> Callable[[Column], Column]:
+        return lambda other: reduce(lambda a, b: a & b, [other[d].eqNullSafe(row[d]) for d in subset], F.lit(True))
+
+    def marked(row: Column, place: Column) -> Column:
+        earlier = F.slice("rows", F.lit(1), place)
+        known = F.col("order_id").isNotNull()
+        marks = []
+        canceled = known & (row["canceled"] > 0)
+        for k, subset in enumerate(subsets):
+            first = known & ~F.exists(earlier, agrees(row, subset))
+            first_canceled = canceled & ~F.exists(F.filter(earlier, lambda o: o["canceled"] > 0), agrees(row, subset))
+            marks += [first.cast("int").alias(f"orders_{k}"), first_canceled.cast("int").alias(f"canceled_{k}")]
+        return F.struct(*[row[c].alias(c) for c in (*dims, *_SUMMED)], *marks)
+
+    counters = [f"{name}_{k}" for k in range(len(subsets)) for name in ("orders", "canceled")]
+    finest = (
+        rows.select(F.explode(F.transform("rows", marked)).alias("r"))
+        .select("r.*")
+        .groupBy(*dims)
+        .agg(*[F.sum(c).alias(c) for c in (*_SUMMED, *counters)])
+    )
+    # Of each subset only its own counters hold: bit i of the grouping id tells whether column i is left out.
+    level = F.col("_level")
+    place = {sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in subset): k for k, subset in enumerate(subsets)}
+
+    def counter(name: str) -> Column:
+        chain = F.when(F.lit(False), F.lit(0).cast("long"))
+        for number, k in place.items():
+            chain = chain.when(level == number, F.col(f"{name}_{k}"))
+        return chain
+
+    sets = [[F.col(d) for d in subset] for subset in subsets]
+    summed = finest.groupingSets(sets, *[F.col(d) for d in dims]).agg(
+        F.grouping_id().alias("_level"), *[F.sum(c).alias(c) for c in (*_SUMMED, *counters)]
     )
+    names = F.concat_ws(",", *[F.when(F.shiftright(level, len(dims) - 1 - i) % 2 == 0, F.lit(d)) for i, d in enumerate(dims)])
+    shown = summed.select(names.alias("level"), *dims, "_level", *_SUMMED, counter("orders").alias("n"), counter("canceled").alias("c"))
+    return shown.groupBy("level", *dims).agg(*_measures(F.sum("n"), F.sum("c")))
 
 
 def bi_mom_growth_calendar(fact: DataFrame) -> DataFrame:

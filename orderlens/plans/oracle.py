@@ -683,14 +683,23 @@ def oracle_sql() -> dict[str, str]:
     q["kpi_top_category_share"] = _top_share("category_name")
     q["kpi_top_region_share"] = _top_share("order_region")
     late_fraction = f"CAST({LATE} AS DOUBLE) / count(*)"
-    q["bi_measures_by_dim"] = on_fact(
-        f"""SELECT market, shipping_mode, {r('sum(sales)')} AS revenue, count(DISTINCT order_id) AS orders,
+    measures = f"""{r('sum(sales)')} AS revenue, count(DISTINCT order_id) AS orders,
         CAST(sum(order_item_quantity) AS BIGINT) AS units, {quot('sum(sales)', 'count(DISTINCT order_id)')} AS avg_order_value,
         {r(late_fraction, 6)} AS late_pct, {r(f'1 - {late_fraction}', 6)} AS on_time_pct,
         {r('avg(days_for_shipping_real)', 6)} AS avg_days, {r('avg(days_for_shipment_scheduled)', 6)} AS avg_scheduled,
-        {r('avg(shipping_delay_days)', 6)} AS avg_delay, {quot(canceled_orders, 'count(DISTINCT order_id)', 6)} AS cancellation_pct
-        FROM orders_fact GROUP BY 1, 2"""
-    )
+        {r('avg(shipping_delay_days)', 6)} AS avg_delay, {quot(canceled_orders, 'count(DISTINCT order_id)', 6)} AS cancellation_pct"""
+    q["bi_measures_by_dim"] = on_fact(f"SELECT market, shipping_mode, {measures} FROM orders_fact GROUP BY 1, 2")
+
+    def cube(*dims: str) -> str:
+        level = ", ".join(f"CASE WHEN grouping({d}) = 0 THEN '{d}' END" for d in dims)
+        named = "(SELECT *, ym AS order_year_month FROM orders_fact)"
+        # A cent's half is common among few orders; a double's own digits round as such.
+        average = "CAST(sum(sales) AS DOUBLE) / NULLIF(count(DISTINCT order_id), 0)"
+        exact = r(f"CAST({average} AS VARCHAR)")
+        return on_fact(f"SELECT concat_ws(',', {level}) AS level, {', '.join(dims)}, {measures.replace(quot('sum(sales)', 'count(DISTINCT order_id)'), exact)} FROM {named} GROUP BY CUBE ({', '.join(dims)})")
+
+    q["bi_measures_cube"] = cube("order_region", "customer_segment", "order_year_month")
+    q["bi_measures_cube_products"] = cube("category_name", "type")
     q["bi_mom_growth_calendar"] = on_fact(
         f"""SELECT c.ym AS month, {r('m.s')} AS revenue, {r('p.s')} AS prev_month_revenue, {quot('m.s - p.s', 'p.s', 6)} AS growth
         FROM (SELECT strftime(d, '%Y-%m') AS ym, strftime(d - INTERVAL 1 MONTH, '%Y-%m') AS pm FROM

@@ -577,23 +577,36 @@ def kpi_top_region_share(star: Star) -> DataFrame:
     return kpi.kpi_top_share(star.fact("order_region", "sales"), "order_region")
 
 
+_MEASURED = (
+    "order_id",
+    "sales",
+    "order_item_quantity",
+    "late_delivery_risk",
+    "days_for_shipping_real",
+    "days_for_shipment_scheduled",
+    "shipping_delay_days",
+    "order_status",
+)
+
+
 @query
 def bi_measures_by_dim(star: Star) -> DataFrame:
     dims = ("market", "shipping_mode")
-    return kpi.bi_measures_by_dim(
-        star.fact(
-            *dims,
-            "order_id",
-            "sales",
-            "order_item_quantity",
-            "late_delivery_risk",
-            "days_for_shipping_real",
-            "days_for_shipment_scheduled",
-            "shipping_delay_days",
-            "order_status",
-        ),
-        dims,
-    )
+    return kpi.bi_measures_by_dim(star.fact(*dims, *_MEASURED), dims)
+
+
+@query
+def bi_measures_cube(star: Star) -> DataFrame:
+    """All subsets of region, segment and month."""
+    dims = ("order_region", "customer_segment", "order_year_month")
+    return kpi.bi_measures_cube(star.fact(*dims, *_MEASURED), dims)
+
+
+@query
+def bi_measures_cube_products(star: Star) -> DataFrame:
+    """Subsets of columns of the product, which an order's lines differ in."""
+    dims = ("category_name", "type")
+    return kpi.bi_measures_cube(star.fact(*dims, *_MEASURED), dims)
 
 
 @query
