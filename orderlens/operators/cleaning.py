@@ -168,6 +168,16 @@ def clean_run(
     return derive_delay_days(df)
 
 
+def clean_rows(df: DataFrame) -> DataFrame:
+    """The steps of variant A that look at one row, or at equal rows, alone: all but the outlier flags.
+
+    A row's result never depends on rows of another year, so years can be refreshed by themselves.
+    """
+    unique = dedupe(fill_nulls(drop_columns(df)))
+    flagged = flag_cancelled(trim_text(clip_days(parse_dates(unique))))
+    return derive_delay_days(derive_calendar(flagged).drop("order_week", "order_yyyymm"))
+
+
 def quality_log(raw: DataFrame, variant: str = "A", cleaned: DataFrame | None = None) -> DataFrame:
     """Every check of a cleaning run under one another: ``check, column_name, value``.
 

@@ -3,14 +3,22 @@
 Training reads the features several times, so the training rows are persisted (spilling to
 disk) while a model is fitted, and checkpoints of boosted trees go to the shared folder.
 Only fitted models and vocabularies reach the driver.
+
+A model depends on the rows alone, not on how they lie. Numerics enter trees as exact quantile
+bins, so no split candidates are drawn from a sample. The forest's bootstrap weights come from a
+hash of each row and the number of its sample; the library's own sampling, which goes by partition,
+is off. Trees of a forest stand in groups that share a sample and differ by the features tried at
+each node; the groups' probabilities are averaged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.base import Estimator
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -18,11 +26,14 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import Bucketizer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordered import column_quantiles
 from ..session import ensure_checkpoint_dir, scratch_path
 from .ml_data import CATEGORICAL, NUMERIC
 
@@ -55,31 +66,100 @@ def ml_preprocess(variant: str = "A") -> Pipeline:
 
 
 def classifier(name: str, n_rows: int, seed: int = 42, **overrides) -> Estimator:
-    """An unfitted classifier; ``n_rows`` sets the L2 weight (one over the training size)."""
+    """An unfitted classifier but the forest; ``n_rows`` sets the L2 weight (one over the training size)."""
     if name == LOGISTIC_REGRESSION:
         options = dict(maxIter=1000, regParam=1.0 / max(n_rows, 1), elasticNetParam=0.0, standardization=False)
         return LogisticRegression(**{**options, **overrides})
+    trees = dict(featuresCol="tree_features", seed=seed, maxMemoryInMB=TREE_MEMORY_MB)
     if name == DECISION_TREE:
-        return DecisionTreeClassifier(**{**dict(maxDepth=8, seed=seed), **overrides})
-    if name == RANDOM_FOREST:
-        return RandomForestClassifier(**{**dict(numTrees=200, maxDepth=12, seed=seed), **overrides})
+        return DecisionTreeClassifier(**{**trees, **dict(maxDepth=8), **overrides})
     if name == GRADIENT_BOOSTING:
-        return GBTClassifier(**{**dict(maxIter=100, maxDepth=3, stepSize=0.1, seed=seed), **overrides})
+        return GBTClassifier(**{**trees, **dict(maxIter=100, maxDepth=3, stepSize=0.1), **overrides})
     raise ValueError(f"unknown model {name}")
 
 
-#: Partitions of the training rows. Trees draw their samples by partition, so the number is part
-#: of a model's definition and does not follow the cores or the input's files.
-TRAINING_PARTITIONS = 16
+#: Rows of a training partition, where there are more of them than cores.
+ROWS_PER_PARTITION = 200_000
+#: Bins of a numeric feature in trees; the library's own number of split candidates plus one.
+BINS = 32
+#: Bootstrap samples of a forest; its trees are dealt to them.
+SAMPLES = 4
+#: Memory for the node statistics of a pass, in MB; more of it means fewer passes over the rows.
+TREE_MEMORY_MB = 1024
 
 
-def _laid_out(rows: DataFrame, partitions: int) -> DataFrame:
-    """Rows dealt out by a hash of all their columns, and in the order of hashes within a partition.
+def training_partitions(n_rows: int, cores: int) -> int:
+    """One partition per core, or as many as hold ``ROWS_PER_PARTITION`` rows each if that is more."""
+    return max(cores, -(-n_rows // ROWS_PER_PARTITION), 1)
 
-    The layout depends on the rows alone; rows with the same hash are equal, so their order is too.
-    """
-    place = F.xxhash64(*rows.columns)
-    return rows.withColumn("_place", place).repartition(partitions, "_place").sortWithinPartitions("_place").drop("_place")
+
+def with_poisson_weight(rows: DataFrame, sample: int, seed: int) -> DataFrame:
+    """Add ``weight``, Poisson with mean one, from the hash in ``place``: the same row always has the same one."""
+    draw = F.shiftrightunsigned(F.xxhash64("place", F.lit(sample), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    edges = [math.exp(-1.0) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(9)]
+    weight = sum(((F.col("draw") >= edge).cast("double") for edge in edges), F.lit(0.0))
+    return rows.withColumn("draw", draw).withColumn("weight", weight).drop("draw")
+
+
+def quantile_bins(train: DataFrame, variant: str) -> list:
+    """Stages that put the numerics into bins of about equal size, and these and the categories into one vector."""
+    names = list(NUMERIC[variant])
+    probabilities = [i / BINS for i in range(1, BINS)]
+    # One row per numeric column.
+    found = {r["column_name"]: r["quantiles"] for r in column_quantiles(train, names, probabilities).collect()}
+    infinite = float("inf")
+    splits = [[-infinite, *sorted(set(found.get(c) or [0.0])), infinite] for c in names]
+    binned = [f"{c}__bin" for c in names]
+    encoded = [f"{c}__onehot" for c in CATEGORICAL[variant]]
+    return [
+        Bucketizer(inputCols=names, outputCols=binned, splitsArray=splits, handleInvalid="keep"),
+        VectorAssembler(inputCols=[*binned, *encoded], outputCol="tree_features"),
+    ]
+
+
+class MeanProbability(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Averages the late probabilities of several two-class models; above a half the prediction is late."""
+
+    inputCols = Param(Params._dummy(), "inputCols", "probability vectors to average", TypeConverters.toListString)
+    weights = Param(Params._dummy(), "weights", "weight of each", TypeConverters.toListFloat)
+    probabilityCol = Param(Params._dummy(), "probabilityCol", "mean probabilities", TypeConverters.toString)
+    predictionCol = Param(Params._dummy(), "predictionCol", "class", TypeConverters.toString)
+
+    def __init__(self, inputCols: list[str] | None = None, weights: list[float] | None = None):
+        super().__init__()
+        self._set(probabilityCol="probability", predictionCol="prediction")
+        if inputCols is not None:
+            self._set(inputCols=inputCols, weights=weights)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        weights, names = self.getOrDefault(self.weights), self.getOrDefault(self.inputCols)
+        late = F.array(*[vector_to_array(c).getItem(1) * w for c, w in zip(names, weights, strict=True)])
+        made = dataset.withColumn("_p", F.aggregate(late, F.lit(0.0), lambda s, p: s + p) / sum(weights)).drop(*names)
+        made = made.withColumn(self.getOrDefault(self.probabilityCol), array_to_vector(F.array(1 - F.col("_p"), F.col("_p"))))
+        prediction = F.when(F.col("_p") > 0.5, 1.0).otherwise(0.0)
+        return made.withColumn(self.getOrDefault(self.predictionCol), prediction).drop("_p")
+
+
+def _fit_forest(vectors: DataFrame, seed: int, options: dict) -> list:
+    """Fitted stages of a random forest on hashed bootstrap samples of the rows."""
+    options = {**dict(numTrees=200, maxDepth=12), **options}
+    trees = options.pop("numTrees")
+    samples = min(SAMPLES, trees)
+    sizes = [trees // samples + (k < trees % samples) for k in range(samples)]
+
+    def fit(k: int):
+        weighted = with_poisson_weight(vectors, k, seed).filter(F.col("weight") > 0)
+        forest = RandomForestClassifier(
+            featuresCol="tree_features", weightCol="weight", bootstrap=False, subsamplingRate=1.0,
+            featureSubsetStrategy="sqrt", numTrees=sizes[k], seed=seed + k, cacheNodeIds=True,
+            maxMemoryInMB=TREE_MEMORY_MB, probabilityCol=f"probability_{k}", predictionCol="", rawPredictionCol="", **options,
+        )
+        return forest.fit(weighted)
+
+    # All at once, so that one's short passes fill the gaps of the others.
+    with ThreadPool(samples) as pool:
+        fitted = pool.map(inheritable_thread_target(vectors.sparkSession)(fit), range(samples), chunksize=1)
+    return [*fitted, MeanProbability([f"probability_{k}" for k in range(samples)], [float(n) for n in sizes])]
 
 
 def _stored(model: PipelineModel, name: str) -> PipelineModel:
@@ -104,23 +184,35 @@ def fit_models(
     variant: str = "A",
     seed: int = 42,
     overrides: dict[str, dict] | None = None,
-    partitions: int = TRAINING_PARTITIONS,
+    partitions: int | None = None,
 ) -> dict[str, PipelineModel]:
     """Several classifiers on one shared preprocessing, whose output is persisted meanwhile.
 
-    The same rows give the same models, however many cores or input files there are; large data
-    takes more ``partitions``.
+    The same rows give the same trees, however they lie and whatever the number of ``partitions``
+    (by ``training_partitions`` unless given); the logistic regression agrees to rounding.
     """
-    ensure_checkpoint_dir(train.sparkSession)
-    train = _laid_out(train, partitions)
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    n_rows = train.count()
+    partitions = partitions or training_partitions(n_rows, spark.sparkContext.defaultParallelism)
+    place = F.xxhash64(*[F.col(c) for c in train.columns])
+    train = train.withColumn("place", place).repartition(partitions, "place")
     prepared = ml_preprocess(variant).fit(train)
-    vectors = prepared.transform(train).select("features", "label").persist(StorageLevel.MEMORY_AND_DISK)
+    bins = quantile_bins(train, variant) if set(names) - {LOGISTIC_REGRESSION} else []
+    vectors = PipelineModel(stages=[*prepared.stages, *bins]).transform(train)
+    kept = ["features", "label", *(["tree_features", "place"] if bins else [])]
+    vectors = vectors.select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        n_rows = vectors.count()
         fitted = {}
         for name in names:
-            model = classifier(name, n_rows, seed, **(overrides or {}).get(name, {})).fit(vectors)
-            fitted[name] = _stored(PipelineModel(stages=[*prepared.stages, model]), name)
+            options = (overrides or {}).get(name, {})
+            if name == RANDOM_FOREST:
+                stages = [*bins, *_fit_forest(vectors, seed, options)]
+            elif name == LOGISTIC_REGRESSION:
+                stages = [classifier(name, n_rows, seed, **options).fit(vectors)]
+            else:
+                stages = [*bins, classifier(name, n_rows, seed, **options).fit(vectors)]
+            fitted[name] = _stored(PipelineModel(stages=[*prepared.stages, *stages]), name)
         return fitted
     finally:
         vectors.unpersist()
@@ -187,8 +279,9 @@ def ml_feature_importance(
     spark: SparkSession, model: PipelineModel, variant: str = "A", n: int = 15
 ) -> DataFrame:
     """The ``n`` most important features of a tree model."""
-    importances = (float(v) for v in model.stages[-1].featureImportances.toArray())
-    rows = list(zip(feature_names(model, variant), importances))
+    found = [(s.featureImportances.toArray(), getattr(s, "getNumTrees", 1)) for s in model.stages if hasattr(s, "featureImportances")]
+    importances = sum(values * trees for values, trees in found) / sum(trees for _, trees in found)
+    rows = [(name, float(v)) for name, v in zip(feature_names(model, variant), importances)]
     return (
         spark.createDataFrame(rows, "feature string, importance double")
         .orderBy(F.col("importance").desc(), "feature")

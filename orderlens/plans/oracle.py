@@ -530,6 +530,11 @@ def oracle_sql() -> dict[str, str]:
     )
     q["clean_run"] = on_raw("SELECT * FROM cleaned", *CLEAN_A)
     q["clean_run_alt"] = on_raw("SELECT * FROM cleaned", *CLEAN_B)
+    q["clean_refresh"] = on_raw(
+        """SELECT order_year, coalesce(order_year > 1997, FALSE) AS rewritten, count(*) AS n, CAST(sum(CAST(sales AS DECIMAL(18,2))) AS DOUBLE) AS sales,
+        count(*) FILTER (WHERE is_cancelled_or_fraud) AS cancelled FROM cleaned GROUP BY 1, 2""",
+        *CLEAN_A,
+    )
     slim = ", ".join(SLIM_NAMES)
     def log(a: bool) -> list[str]:
         return [

@@ -44,6 +44,7 @@ from ..session import ensure_skew_handling, scratch_path
 from ..sources import files
 from ..sources import star as star_module
 from ..sources.star import FACT_COLUMNS, RAW_COLUMNS, Star
+from ..sources.versions import VersionedTables, refresh_partitions
 
 # Test-data parameters: the last month is partial.
 LAST_COMPLETE_MONTH = "2001-07"
@@ -244,25 +245,30 @@ def results_catalog(star: Star) -> DataFrame:
     return files.results_catalog(parts)
 
 
+#: Last year of the first delivery in ``clean_refresh``.
+FIRST_DELIVERY = 1997
+
+
 @query
-def export_star_schema(star: Star) -> DataFrame:
-    """Writes the reporting tables and returns the row count of each as stored."""
-    tables = {
-        "fact_orders": star.fact(),
-        "dim_product": _dim_product(star),
-        "dim_customer": _dim_customer(star),
-        "monthly_kpi": monthly_kpi(star),
-        "inventory": inventory_profile(star),
-        "supplier": supplier_scorecard_ranked(star),
-        "forecast": ts_moving_average_forecast(star),
-        "model_comparison": ml_metrics_query(star),
-    }
-    paths = files.export_star_schema(tables, scratch_path(star.spark, "star"))
-    counts = [
-        star.spark.read.parquet(path).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
-        for name, path in paths.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+def clean_refresh(star: Star) -> DataFrame:
+    """The extract delivered in two parts, cleaned by year: what each year holds and whether the second part rewrote it."""
+    raw = _raw(star)
+    dated = cleaning.parse_dates(raw.withColumn("_day", F.col("order_date")), ["_day"]).withColumn("_year", F.year("_day"))
+    later = F.coalesce(F.col("_year") > FIRST_DELIVERY, F.lit(False))
+    inputs = scratch_path(star.spark, "deliveries")
+    store = VersionedTables(star.spark, scratch_path(star.spark, "clean-store"))
+    done = {}
+    for part, rows in (("first", dated.filter(~later)), ("second", dated.filter(later))):
+        rows.select(raw.columns).write.parquet(f"{inputs}/{part}")
+        found = [f for f in files.listing(star.spark, inputs) if f[0].endswith(".parquet")]
+        done = refresh_partitions(
+            store, "clean", found, lambda paths: star.spark.read.schema(raw.schema).parquet(*paths), cleaning.clean_rows, "order_year"
+        )
+    rewritten = F.coalesce(F.col("order_year").cast("string"), F.lit("none")).isin(done["written"])
+    cleaned = store.read("clean")
+    return cleaned.groupBy("order_year", rewritten.alias("rewritten")).agg(
+        F.count("*").alias("n"), F.sum("sales").cast("double").alias("sales"), F.count_if("is_cancelled_or_fraud").alias("cancelled")
+    )
 
 
 @query
@@ -629,18 +635,27 @@ def supplier_scorecard_ranked(star: Star) -> DataFrame:
     )
 
 
-def _demand(star: Star, key: str = "product_card_id") -> DataFrame:
-    return star.fact(key, "order_date", "order_item_quantity")
+def _product_months(star: Star, key: str) -> DataFrame:
+    """One row per product and month, written once; every indicator of products reads it."""
+    columns = (key, "order_id", "order_item_quantity", "sales", "order_date")
+    return _once(star, f"product-months-{key}", lambda: inventory.product_months(star.fact(*columns), key))
+
+
+def _profile(star: Star, key: str, zero_fill: bool = True) -> DataFrame:
+    """One row per product, written once: bands look for quantiles in it and then read it."""
+    months = _product_months(star, key)
+    name = f"profile-{key}-{zero_fill}"
+    return _once(star, name, lambda: inventory.demand_profile_of(months, key, LAST_COMPLETE_MONTH, zero_fill))
 
 
 @query
 def demand_profile(star: Star) -> DataFrame:
-    return inventory.demand_profile(_demand(star), "product_card_id", LAST_COMPLETE_MONTH)
+    return _profile(star, "product_card_id")
 
 
 @query
 def demand_profile_active_months(star: Star) -> DataFrame:
-    return inventory.demand_profile(_demand(star), "product_card_id", LAST_COMPLETE_MONTH, zero_fill=False)
+    return _profile(star, "product_card_id", zero_fill=False)
 
 
 @query
@@ -657,7 +672,7 @@ def stockout_risk_proxy(star: Star) -> DataFrame:
 
 @query
 def inventory_profile(star: Star) -> DataFrame:
-    return inventory.inventory_profile(_demand(star, "product_name"), "product_name", LAST_COMPLETE_MONTH)
+    return inventory.with_demand_bands(_profile(star, "product_name"))
 
 
 @query
@@ -665,12 +680,10 @@ def inventory_summary(star: Star) -> DataFrame:
     return inventory.inventory_summary(inventory_profile(star), "product_name")
 
 
-_PRODUCT = ("product_name", "order_id", "order_item_quantity", "sales", "order_date")
-
-
 @query
 def product_demand_cv(star: Star) -> DataFrame:
-    return inventory.product_demand_cv(star.fact(*_PRODUCT))
+    months = _product_months(star, "product_name")
+    return _once(star, "product-cv", lambda: inventory.product_demand_cv_of(months))
 
 
 @query

@@ -179,10 +179,7 @@ def results_catalog(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def export_star_schema(tables: Mapping[str, DataFrame], root: str) -> dict[str, str]:
-    """Each table as parquet below one root; returns the paths."""
-    paths = {}
-    for name, df in tables.items():
-        paths[name] = f"{root}/{name}"
-        df.write.mode("overwrite").parquet(paths[name])
-    return paths
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all its files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

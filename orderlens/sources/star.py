@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .files import listing
+from .files import drop, listing
 
 SALES = "CAST(l_extendedprice AS DECIMAL(18,2))"
 QUANTITY = "CAST(l_quantity AS BIGINT)"
@@ -220,21 +220,26 @@ def raw_orders(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None =
     )
 
 
-# Where the joined fact of a session and data version is stored.
+# Where the joined fact of a session and data version is stored; the versions kept of one folder.
 _FACTS: dict[tuple, str] = {}
+_KEPT_FACTS = 2
 
 
 def stored_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole fact, joined and written once per session and version of the folder's tables.
 
     The lines of an order lie together, in files of the advisory size. Readers prune columns and
-    make no join.
+    make no join. Of each folder the two latest versions stay, so queries planned before a change can
+    still be run; older ones are removed.
     """
     key = (spark.sparkContext.applicationId, sf_dir, listing(spark, sf_dir))
     if key not in _FACTS:
         path = scratch_path(spark, "fact")
         orders_fact(spark, sf_dir).hint("rebalance", F.col("order_id")).write.parquet(path)
         _FACTS[key] = path
+        earlier = [k for k in _FACTS if k[:2] == key[:2]]
+        for old in earlier[:-_KEPT_FACTS]:
+            drop(spark, _FACTS.pop(old))
     return spark.read.parquet(_FACTS[key])
 
 

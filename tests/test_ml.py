@@ -133,9 +133,39 @@ def test_best_model_by_auc(spark):
 
 
 def test_models_do_not_depend_on_cores_or_files(spark, parts):
-    def scores(train):
-        model = ml_models.fit_model(train, ml_models.RANDOM_FOREST, numTrees=5, maxDepth=4)
-        rows = ml_models.predict(model, parts[1], "forest").agg({"score": "sum"})
-        return round(rows.first()[0], 9)
-
-    assert scores(parts[0].repartition(2)) == scores(parts[0].repartition(11))
+    """The same forest at 2 and 64 partitions and from other files: equal scores, row by row."""
+
+    def scores(train, partitions):
+        small = {ml_models.RANDOM_FOREST: dict(numTrees=6, maxDepth=4), ml_models.DECISION_TREE: dict(maxDepth=4)}
+        found = ml_models.fit_models(train, list(small), overrides=small, partitions=partitions)
+        return {
+            name: sorted(r["score"] for r in ml_models.predict(model, parts[1], name).collect()) for name, model in found.items()
+        }
+
+    assert scores(parts[0].repartition(2), 2) == scores(parts[0].repartition(11), 64)
+
+
+def test_partitions_follow_rows_or_cores():
+    assert ml_models.training_partitions(0, 8) == 8
+    assert ml_models.training_partitions(200_000 * 8 + 1, 8) == 9
+    assert ml_models.training_partitions(10**9, 8) == 5000
+
+
+def test_bootstrap_weights_are_poisson_and_go_by_row(spark):
+    rows = spark.range(40_000).selectExpr("xxhash64(id) AS place")
+    one = ml_models.with_poisson_weight(rows, 0, 42)
+    shares = {r["weight"]: r["count"] / 40_000 for r in one.groupBy("weight").count().collect()}
+    for k, share in ((0, 0.3679), (1, 0.3679), (2, 0.1839), (3, 0.0613)):
+        assert abs(shares[float(k)] - share) < 0.01
+    assert one.exceptAll(ml_models.with_poisson_weight(rows.repartition(7), 0, 42)).count() == 0
+    other = ml_models.with_poisson_weight(rows, 1, 42)
+    same = one.join(other.withColumnRenamed("weight", "w"), "place").filter("weight = w").count() / 40_000
+    assert 0.25 < same < 0.37
+
+
+def test_the_forest_survives_storing(spark, parts, models):
+    name = ml_models.RANDOM_FOREST
+    path = registry.scratch_path(spark, "forest")
+    ml_models.save_model(models[name], path)
+    gap = ml_models.score_difference(models[name], ml_models.load_model(path), parts[1]).collect()[0]
+    assert gap["n"] > 0 and gap["n_different"] == 0
