@@ -25,7 +25,8 @@ HEADLINE = (
     " bi_measures_by_dim supplier_scorecard_ranked inventory_profile stockout_risk_flag dq_duplicate_rows"
     " flag_iqr_outliers clean_run eda_days_boxplot eda_discount_histogram stats_describe stats_correlation"
     " stats_anova stats_chi_square stats_mean_ci ts_weekly_demand ts_holt_winters ml_metrics ml_roc_curve"
-    " ml_decision_tree ml_random_forest ml_gradient_boosting quality_log export_star_schema ts_actual_vs_forecast"
+    " ml_decision_tree ml_random_forest ml_gradient_boosting quality_log ts_actual_vs_forecast ts_best_model"
+    " ts_refit_forward ml_stratified_split bi_measures_cube clean_dedupe"
     " product_performance region_kpis"
 ).split()
 

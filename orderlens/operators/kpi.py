@@ -175,14 +175,6 @@ def kpi_summary_alt(fact: DataFrame, drop_tail_months: int = 1) -> DataFrame:
     )
 
 
-def as_metrics(row: DataFrame, section: str) -> DataFrame:
-    """A one-row result as ``(section, metric, value)`` text rows."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in row.columns)
-    return row.select(
-        F.lit(section).alias("section"), F.expr(f"stack({len(row.columns)}, {pairs}) AS (metric, value)")
-    )
-
-
 def _order_grain(fact: DataFrame, dims: Sequence[str]) -> DataFrame:
     return fact.groupBy(*dims, "order_id").agg(
         F.sum("sales").alias("sales"),

@@ -245,6 +245,62 @@ def results_catalog(star: Star) -> DataFrame:
     return files.results_catalog(parts)
 
 
+def _model_metrics(star: Star) -> DataFrame:
+    """Held-out quality of the four trained models, written once."""
+    return _once(star, "model-metrics", lambda: ml_metrics.ml_metrics(_all_predictions(star)))
+
+
+@query
+def evidence_catalog(star: Star) -> DataFrame:
+    """Indicators, tests, forecasts and trained models in one long table."""
+    forecasts = _forecasts(star).forward(HORIZON).filter("series_key = 'all'")
+    parts = [
+        files.as_evidence(kpi_summary(star), "kpi"),
+        files.as_evidence(kpi_summary_alt(star), "kpi_alt"),
+        files.as_evidence(stats_mean_ci(star), "mean_delay"),
+        files.as_evidence(stats_chi_square(star), "segment_vs_late"),
+        files.as_evidence(stats_anova(star), "days_by_shipping_mode"),
+        files.as_evidence(ts_model_comparison(star), "forecast_test", ["model"]),
+        files.as_evidence(forecasts, "forecast", ["series_key", "period"]),
+        files.as_evidence(_best(star), "forecast_best", ["series_key"]),
+        files.as_evidence(_model_metrics(star), "late_model", ["model", "metric"]),
+    ]
+    return files.results_catalog(parts)
+
+
+@query
+def evidence_catalog_names(star: Star) -> DataFrame:
+    """Sections of the catalog with their numbers of metrics and of values."""
+    found = evidence_catalog(star)
+    return found.groupBy("section").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
+
+
+def _star_tables(star: Star) -> dict[str, DataFrame]:
+    return {
+        "fact_orders": star.fact(),
+        "dim_product": _dim_product(star),
+        "dim_customer": _dim_customer(star),
+        "monthly_kpi": monthly_kpi(star),
+        "inventory": inventory_profile(star),
+        "supplier": supplier_scorecard_ranked(star),
+        "forecast": _forward(star),
+        "model_comparison": _model_metrics(star),
+    }
+
+
+@query
+def export_star_schema(star: Star) -> DataFrame:
+    """Publishes the reporting tables as one version and returns the row count of each as a reader finds it."""
+    store = VersionedTables(star.spark, scratch_path(star.spark, "star"))
+    store.publish(_star_tables(star))
+    version = store.manifest()
+    counts = [
+        store.read(name, manifest=version).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"))
+        for name in version.tables
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 #: Last year of the first delivery in ``clean_refresh``.
 FIRST_DELIVERY = 1997
 

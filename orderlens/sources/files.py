@@ -179,6 +179,27 @@ def results_catalog(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def as_evidence(df: DataFrame, section: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``(section, metric, value, text)``: every other column of every row, by the values of its keys.
+
+    Numbers and flags are in ``value``, everything else in ``text``; nulls have a row with neither.
+    A metric's name is the keys' values and the column's name, joined by dots.
+    """
+    numbers = (T.NumericType, T.BooleanType)
+    pairs = []
+    for field in df.schema.fields:
+        if field.name in keys:
+            continue
+        column, number = F.col(f"`{field.name}`"), isinstance(field.dataType, numbers)
+        value = column.cast("double") if number else F.lit(None).cast("double")
+        text = F.lit(None).cast("string") if number else column.cast("string")
+        pairs.append(F.struct(F.lit(field.name).alias("name"), value.alias("value"), text.alias("text")))
+    prefix = [F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null")) for k in keys]
+    rows = df.select(*[p.alias(f"_k{i}") for i, p in enumerate(prefix)], F.explode(F.array(*pairs)).alias("_m"))
+    metric = F.concat_ws(".", *[F.col(f"_k{i}") for i in range(len(keys))], F.col("_m.name"))
+    return rows.select(F.lit(section).alias("section"), metric.alias("metric"), "_m.value", "_m.text")
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Remove a folder with all its files."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
