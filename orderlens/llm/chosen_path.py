@@ -225,8 +225,28 @@ def _candidates(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key[apart]), pa.array(key[root[apart]])], names=["a", "b"])
 
 
-def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Numbers of elements that the sets at ``left`` have in common with those at ``right``, as a matrix."""
+#: Elements of sets counted together; sets of more are counted by ranges of the elements' values.
+ELEMENTS_AT_ONCE = 1 << 20
+
+
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, most: int = ELEMENTS_AT_ONCE) -> np.ndarray:
+    """Numbers of elements that the sets at ``left`` have in common with those at ``right``, as a matrix.
+
+    Elements are hashes, so ranges of equal width hold about equally many.
+    """
+    parts = -(-sum(map(len, sets)) // most)
+    if parts <= 1:
+        return _shared_counts(sets, left, right)
+    sets = [s if len(s) < 2 or bool((s[1:] > s[:-1]).all()) else np.sort(s) for s in sets]
+    edges = np.array([(1 << 64) * k // parts for k in range(1, parts)], dtype=np.uint64)
+    cuts = [np.r_[0, np.searchsorted(s, edges), len(s)] for s in sets]
+    total = np.zeros((len(left), len(right)), dtype=np.int64)
+    for k in range(parts):
+        total += _shared_counts([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)], left, right)
+    return total
+
+
+def _shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     size = np.array([len(s) for s in sets])
     _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), size)

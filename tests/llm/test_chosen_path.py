@@ -172,3 +172,15 @@ def test_components(spark, edges):
     got = {r.node: r.label for r in connected_components(frame).collect()}
     assert {n: frozenset(m for m in got if got[m] == got[n]) for n in got} == want
     assert all(label in want[node] for node, label in got.items())
+
+
+def test_shared_counts_by_ranges():
+    """Counting by ranges of values gives the counts of whole sets."""
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)
+    sets = [rng.choice(pool, size, replace=False) for size in (0, 1, 5, 60, 200, 400, 399)]
+    at = np.arange(len(sets))
+    expected = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for most in (1, 7, 100, 10_000):
+        found = cp.shared_counts(sets, at, at, most)
+        assert all(found[i, j] == expected[i][j] for i in at for j in at if i != j)
