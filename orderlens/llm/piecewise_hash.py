@@ -18,8 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import _BASE, _INVERSE, CHUNK_BYTES, mix, powers, text_column
+from .words import CHUNK_BYTES, mix, text_column
 
+# Odd, so that it has an inverse modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+_POWERS: dict[int, np.ndarray] = {}
 WINDOW = 7
 LEAST_BLOCK = 4
 LONGEST, FEWEST = 64, 32
@@ -30,6 +35,19 @@ _CODE[ALPHABET] = np.arange(64)
 _STEP = np.uint32(0x01000193)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """``base ** i`` modulo 2**64 for i below n; kept for the next call up to four chunks."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 1))
+        kept = np.full(size, np.uint64(base), dtype=np.uint64)
+        kept[0] = 1
+        np.multiply.accumulate(kept, out=kept)
+        if size <= 4 * CHUNK_BYTES:
+            _POWERS[base] = kept
+    return kept[:n]
+
+
 def _rolling(data: np.ndarray) -> np.ndarray:
     """For each byte the hash of it and the six before it; the first six are not used."""
     value = (data.astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)

@@ -2,8 +2,10 @@
 
 A word is a run of bytes other than blank, tab, line feed, vertical tab, form feed and carriage
 return. Texts are handled in chunks of half a megabyte, a longer text alone, so memory follows the
-longest text and never the batch. Names are polynomial fingerprints modulo 2**64, mixed; two
-different words or windows share one with a chance of about 2**-64 a pair.
+longest text and never the batch. A word's name is the sum, over its bytes, of a random number of the
+byte times one of its place in the word, mixed. It is no polynomial in the place, under which long
+words of two letters could be made to share a name whatever the base; two different words share one
+with a chance of about 2**-58 a pair. Windows of words are named from their words' names.
 """
 
 from __future__ import annotations
@@ -20,25 +22,9 @@ CHUNK_BYTES = 1 << 19
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-# Odd, so that it has an inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _WINDOW_BASE = np.uint64(0xD6E8FEB86659FD93)
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """``base ** i`` modulo 2**64 for i below n; kept for the next call up to four chunks."""
-    kept = _POWERS.get(base)
-    if kept is None or len(kept) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 1))
-        kept = np.full(size, np.uint64(base), dtype=np.uint64)
-        kept[0] = 1
-        np.multiply.accumulate(kept, out=kept)
-        if size <= 4 * CHUNK_BYTES:
-            _POWERS[base] = kept
-    return kept[:n]
+#: Places whose numbers are kept; those of longer words are made anew each time.
+_PLACES = 1 << 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,6 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _numbers(first: int, n: int) -> np.ndarray:
+    """Random odd numbers by position in a fixed sequence."""
+    return mix(np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)) | np.uint64(1)
+
+
+_OF_BYTE = _numbers(1 << 40, 256)
+_OF_PLACE = _numbers(0, _PLACES)
+
+
 @dataclass
 class Chunk:
     """Some texts of a batch, their bytes one after another."""
@@ -122,10 +117,15 @@ def words_of(chunk: Chunk) -> Words:
     after[cuts - 1] = False
     start = np.flatnonzero(inside & ~before)
     stop = np.flatnonzero(inside & ~after) + 1
-    sums = np.empty(len(data) + 1, dtype=np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data)), out=sums[1:])
-    name = mix((sums[stop] - sums[start]) * powers(_INVERSE, len(data) + 1)[start])
+    length = stop - start
+    longest = int(length.max(initial=0))
+    of_place = _OF_PLACE if longest <= _PLACES else _numbers(0, longest)
+    # The bytes of words alone, one word after another.
+    ends = np.cumsum(length)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length)
+    sums = np.zeros(len(place) + 1, dtype=np.uint64)
+    np.cumsum(_OF_BYTE[data[inside]] * of_place[place], out=sums[1:])
+    name = mix(sums[ends] - sums[ends - length] + length.astype(np.uint64))
     bounds = np.searchsorted(start, offsets)
     row = np.repeat(np.arange(chunk.rows), np.diff(bounds))
     return Words(start, stop, name, row, bounds)

@@ -123,3 +123,13 @@ def test_equal_windows_have_equal_symbols():
             own = text.split()
             found |= {int(s) for i, s in zip(start, symbol, strict=True) if own[i : i + 13] == passage}
         assert len(found) == 1
+
+
+def test_long_words_of_two_letters_stay_apart(spark):
+    """Thue-Morse words share one value under any polynomial modulo 2**64; their names differ."""
+    sign = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in sign) for flip in (0, 1))
+    around = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([*around[:6], one, *around[6:]])), (2, " ".join([*around[:6], two, *around[6:]])), (3, " ".join([*around[:6], one, *around[6:]]))]
+    got = {r.doc_id: r.n_removed for r in dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
