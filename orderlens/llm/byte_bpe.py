@@ -205,7 +205,9 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, ids: bool = Tr
 
     A map over rows without a shuffle. The ranks are one vocabulary file, whose size is fixed, and
     go to each executor once. A null text counts as empty (no ids), a null ``doc_id`` stays null,
-    repeated rows each get their own result, other columns are not read. ``ids=False`` leaves out
+    repeated rows each get their own result, other columns are not read. Of pairs of one rank the
+    leftmost merges first; a piece of any length is encoded whole; an empty table gives no rows.
+    ``ids=False`` leaves out
     the two columns of binary content.
     """
     content = docs.sparkSession.sparkContext.broadcast(ranks)

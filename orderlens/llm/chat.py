@@ -131,8 +131,10 @@ def read_back(turns: DataFrame) -> DataFrame:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Finished conversations as a log: each row opens a message with half of its text and appends the rest.
+    """Finished conversations as a log of events that fold to them, the latest events first.
 
+    By its turn a row's message is streamed in two halves; or opened with a draft, appended to, edited
+    to its first half and appended to; or streamed in wrong order, regenerated and streamed again.
     Rows of one conversation and turn, repeated ones too, are messages of their own, by role and text.
     """
     own = conversations.select(
@@ -144,9 +146,19 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     # In a step of its own: within one select the rows would be numbered after the explode.
     own = own.withColumn("place", F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")))
     half = (F.length("text") / 2).cast("int")
-    first = F.struct(F.lit(0).alias("seq"), F.lit("message").alias("kind"), F.substring("text", F.lit(1), half).alias("text"))
-    rest = F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.substring("text", half + 1, F.length("text")).alias("text"))
-    return own.select("conv_id", F.struct("turn", "place").alias("message"), "role", F.explode(F.array(first, rest)).alias("e")).select(
+    begin, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def log(*events: tuple[str, Column]) -> Column:
+        made = [F.struct(F.lit(i).alias("seq"), F.lit(kind).alias("kind"), t.alias("text")) for i, (kind, t) in enumerate(events)]
+        return F.array(*reversed(made))
+
+    draft = F.concat(F.lit("draft of "), rest)
+    told = (
+        F.when(F.pmod("turn", F.lit(3)) == 0, log(("message", begin), ("delta", rest)))
+        .when(F.pmod("turn", F.lit(3)) == 1, log(("message", draft), ("delta", begin), ("edit", begin), ("delta", rest)))
+        .otherwise(log(("message", rest), ("delta", begin), ("regenerate", F.lit("")), ("delta", begin), ("delta", rest)))
+    )
+    return own.select("conv_id", F.struct("turn", "place").alias("message"), "role", F.explode(told).alias("e")).select(
         "conv_id", "message", "e.seq", "e.kind", "role", "e.text"
     )
 

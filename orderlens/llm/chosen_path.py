@@ -383,6 +383,7 @@ def similar_documents(docs: DataFrame, recall: float = RECALL, size: int = SHING
     verified exactly. Texts of one to four words have one shingle of all their words; texts without
     words (null, empty, white space) are copies of each other and linked to nothing else. A null
     ``doc_id`` stays null and names a class only if no row of it has one. Repeated rows are copies.
+    Texts of any length are compared whole; an empty table gives no rows.
     Other columns are not read. Sets are told apart by 64-bit keys.
     """
     rows, known = _joined(docs, recall, size)

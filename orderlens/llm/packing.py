@@ -171,6 +171,8 @@ def pack_documents(
     tokens may hold no white space. No shuffle: a partition is packed where it is read, and a lost task packs
     the same rows anew with the same sequence numbers. A null text counts as empty (the closing id
     alone), a null ``doc_id`` stays null, repeated rows are packed each, other columns are not read.
+    Levels of equal merit go to the fullest; a very long text fills windows of its own but for its
+    rest; an empty table gives no rows.
     ``size`` is a power of two.
     """
     if size < 1 or size & (size - 1):

@@ -252,7 +252,8 @@ def edited_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     The edited text has its last third (rounded down, in code points) replaced by the first as many
     of the next document's, descending by ``doc_id``. Null texts count as empty; rows with equal
     ``doc_id`` follow one another by text, rows without one come last; of a single row it is itself
-    the next. Two empty texts have likeness 1. Other columns are not read.
+    the next. Two empty texts have likeness 1, equal rows equal fingerprints; a very long text is
+    handled by itself, and an empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -271,7 +271,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
     them at least the probability ``THRESHOLD`` and they share no code point with a base span;
     matches of a base kind that fail its check only serve as examples. Positions are code
     points, ``stop`` exclusive. A null text counts as empty, a null ``doc_id`` stays null, repeated
-    rows each get their result, other columns are not read. The candidates, without the texts, are
+    rows each get their result, other columns are not read. Texts are searched whole, however long;
+    spans of one start are listed by kind; an empty table gives no rows. The candidates, without the texts, are
     written once to the shared folder and read for statistics and decision.
     """
     found = stored(candidates(docs), "pii-candidates")

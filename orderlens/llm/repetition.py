@@ -26,8 +26,9 @@ SYMBOLS[list(b"#*$%&|<>")] = True
 MIN_WORDS = 10
 #: Words of the windows of the base rule, and the percentage of words in repeated ones at most.
 WINDOW, MAX_REPEATED_PERCENT = 5, 20
-#: The verdict counts repeats from this many words on; shares of the document's words at most.
-LONG_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.15, 0.15
+#: The verdict counts repeats from this many words on; shares of the document's words at most. A passage that
+#: comes twice covers twice its length, so a limit of the longest repeat decides below half of the covered share.
+LONG_REPEAT, MAX_COVERED, MAX_LONGEST = 10, 0.15, 0.06
 
 
 def suffix_array(symbols: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -271,7 +271,8 @@ def find_spans(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     band accepts it and the battery does not reject randomness; tokens that touch a base span are not
     tested. Positions are code points, ``stop`` exclusive. A null text counts as empty, a null
     ``doc_id`` stays null, repeated rows each get their result and count in the statistics, equal
-    probabilities share their fate, other columns are not read. What was found, without the texts,
+    probabilities share their fate, other columns are not read. Texts are searched whole, however
+    long; an empty table gives no rows. What was found, without the texts,
     is written once to the shared folder.
     """
     found = stored(candidates(docs, keep), "secret-candidates")

@@ -269,7 +269,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, keep_text: bool = True
     words that stay, joined by blanks. Windows are judged on the input. A null text has no words. A
     null ``doc_id`` counts as larger than all others; rows of one ``doc_id`` never remove each
     other's words and each get their own result. Windows of one document only do not count, however
-    often they come. Other columns are not read. ``window`` is at least 5.
+    often they come. Texts of any length are handled whole; equal texts of different ids lose all
+    their windows but for the least id's; an empty table gives no rows. Other columns are not read.
+    ``window`` is at least 5.
     """
     if window < 5:
         raise ValueError("a window has at least five words")

@@ -83,3 +83,14 @@ def test_rows_of_any_kind(spark):
     assert got.columns == docs.columns
     assert sorted(got.collect(), key=str) == sorted(docs.collect()[:3], key=str)
     assert repetition.repetition(docs.limit(0)).count() == 0
+
+
+def test_a_document_that_only_its_longest_repeat_rejects(spark):
+    """A passage of 7 % copied once covers 14 %; short repeats that cover as much are kept."""
+    words = [f"w{k}" for k in range(4650)]
+    once = " ".join([*words, *words[100:450]])
+    many = " ".join([*words, *(w for k in range(12) for w in words[k * 300 : k * 300 + 27])])
+    docs = spark.createDataFrame([(1, once), (2, many)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in repetition.repetition(docs).collect()}
+    assert not rows[1].base_failed and rows[1].covered_words <= repetition.MAX_COVERED * rows[1].n_words and not rows[1].kept
+    assert rows[2].kept and rows[2].covered_words > 0.12 * rows[2].n_words
