@@ -1,5 +1,6 @@
 """Packing: every id once, gapless sequences, no padding, and the rule's choice by brute force."""
 
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -78,6 +79,15 @@ def test_control_strings_as_in_a_plain_call(tokenizer):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_the_ranked_form_is_used_and_refused_where_it_may_differ():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        content = json.load(file)
+    assert packing.ranked_encoding(json.dumps(content)) is not None
+    turned = {**content, "model": {**content["model"], "merges": content["model"]["merges"][::-1]}}
+    assert packing.ranked_encoding(json.dumps(turned)) is None
+    assert packing.ranked_encoding(json.dumps({**content, "normalizer": {"type": "NFC"}})) is None
+
+
 def test_rule_by_brute_force():
     pick = random.Random(1)
     for _ in range(300):
