@@ -1,7 +1,7 @@
 from orderlens.schema import RAW_CSV_FIELDS, snake_case
 from orderlens.session import scratch_path
 from orderlens.sources import files
-from orderlens.sources.star import FACT_COLUMNS, orders_fact
+from orderlens.sources.star import _FACTS, FACT_COLUMNS, Star, orders_fact, stored_fact
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -32,6 +32,29 @@ def test_distinct_fact_equals_distinct_of_fact(spark):
     assert pushed.exceptAll(plain).count() == 0 and plain.exceptAll(pushed).count() == 0
 
 
+def test_stored_lines_give_the_rows_of_the_joins_and_stay_narrow(spark):
+    star, plain = Star(spark, SF_DIR, stored=True), Star(spark, SF_DIR)
+    for made, wanted in ((star.fact(), plain.fact()), (star.raw(), plain.raw())):
+        assert made.columns == wanted.columns
+        assert made.exceptAll(wanted).count() == 0 and wanted.exceptAll(made).count() == 0
+    customers = [s.fact("customer_id", "customer_segment", distinct=True) for s in (star, plain)]
+    assert sorted(customers[0].collect()) == sorted(customers[1].collect())
+    # Columns that follow from others are not stored, nor is anything of part.
+    held = set(stored_fact(spark, SF_DIR).columns)
+    assert not held & (set(FACT_COLUMNS) | {"p_name", "p_brand", "p_type"})
+
+
+def test_columns_without_an_order_store_nothing(spark):
+    before = dict(_FACTS)
+    _FACTS.clear()
+    try:
+        star = Star(spark, SF_DIR, stored=True)
+        assert star.fact("category_name", "sales").count() <= star.raw("sales").count()
+        assert not _FACTS
+    finally:
+        _FACTS.update(before)
+
+
 def test_csv_round_trip_keeps_blanks_quotes_and_latin1(spark):
     df = spark.createDataFrame([("  a, \"b\" ", "Señor São"), ("x", None)], "t string, u string")
     path = scratch_path(spark, "csv_test")
