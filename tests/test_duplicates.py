@@ -71,3 +71,10 @@ def test_cleaning_step_and_check_use_it(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a")], "x int, y string")
     assert rows(cleaning.dedupe(df, lambda d: stored(d, "t"))) == [(1, "a"), (2, "a")]
     assert quality.dq_duplicate_rows(df).collect()[0]["value"] == 1
+
+
+def test_rows_told_apart_by_few_columns_are_still_compared_as_a_whole(spark):
+    rows = spark.createDataFrame([(1, "a", None), (1, "a", None), (1, "b", "x"), (2, "a", "y"), (None, "a", "y"), (None, "a", "y")], "k int, t string, u string")
+    found = quality.dq_duplicate_rows(rows, ["k"]).collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in quality.dq_duplicate_rows(rows).collect()]
+    assert found[0]["value"] == 2.0
