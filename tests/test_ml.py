@@ -169,3 +169,40 @@ def test_the_forest_survives_storing(spark, parts, models):
     ml_models.save_model(models[name], path)
     gap = ml_models.score_difference(models[name], ml_models.load_model(path), parts[1]).collect()[0]
     assert gap["n"] > 0 and gap["n_different"] == 0
+
+
+def test_a_forest_has_partitions_by_core_and_the_same_trees(spark, monkeypatch):
+    assert ml_models.forest_partitions(36_000_000, 12) == 12
+    assert ml_models.forest_partitions(4_000_000 * 12 + 1, 12) == 13
+    taken = []
+    fit = ml_models._fit_forest
+
+    def seen(vectors, seed, options):
+        taken.append(vectors.rdd.getNumPartitions())
+        return fit(vectors, seed, options)
+
+    monkeypatch.setattr(ml_models, "_fit_forest", seen)
+    train = registry._part(Star(spark, "/root/testdata/sf0.001"), "train")
+    options = {ml_models.RANDOM_FOREST: dict(numTrees=4, maxDepth=4)}
+    trees = [
+        ml_models.fit_models(train, [ml_models.RANDOM_FOREST], overrides=options, partitions=n)[ml_models.RANDOM_FOREST].stages[-2].toDebugString
+        for n in (40, 3)
+    ]
+    assert taken == [8, 3]
+    assert trees[0].split("\n")[1:] == trees[1].split("\n")[1:]
+
+
+def test_rows_of_the_split_are_hashed_once(spark):
+    hashed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            hashed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).selectExpr("id", "id % 2 AS label").mapInArrow(counted, "id long, label long")
+    split = ml_data.ml_stratified_split(rows, identity=["id"])
+    assert hashed.value == 1000
+    assert sorted(tuple(r) for r in split.groupBy("split", "label").count().collect()) == [
+        ("test", 0, 100), ("test", 1, 100), ("train", 0, 400), ("train", 1, 400),
+    ]
