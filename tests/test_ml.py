@@ -206,3 +206,34 @@ def test_rows_of_the_split_are_hashed_once(spark):
     assert sorted(tuple(r) for r in split.groupBy("split", "label").count().collect()) == [
         ("test", 0, 100), ("test", 1, 100), ("train", 0, 400), ("train", 1, 400),
     ]
+
+
+def test_equal_rows_are_trained_once_with_their_number(spark, parts, monkeypatch):
+    """Three copies of the rows: no more rows to pass over, and the same scores."""
+    sizes, plain = [], ml_models.classifier
+
+    def seen(*args, **options):
+        made = plain(*args, **options)
+        fit = made.fit
+        made.fit = lambda rows: sizes.append(rows.count()) or fit(rows)
+        return made
+
+    monkeypatch.setattr(ml_models, "classifier", seen)
+    options = {ml_models.DECISION_TREE: dict(maxDepth=4), ml_models.GRADIENT_BOOSTING: dict(maxIter=2)}
+    once, thrice = parts[0], parts[0].unionByName(parts[0]).unionByName(parts[0])
+    found = [ml_models.fit_models(rows, list(options), overrides=options) for rows in (once, thrice)]
+    assert sizes == [once.distinct().count()] * 4
+    for name in options:
+        scores = [sorted(r["score"] for r in ml_models.predict(models[name], parts[1], name).collect()) for models in found]
+        assert scores[0] == pytest.approx(scores[1], abs=1e-9)
+
+
+def test_models_of_one_query_share_their_preparation(spark, monkeypatch):
+    prepared, plain = [], ml_models.ml_preprocess
+    monkeypatch.setattr(ml_models, "ml_preprocess", lambda variant="A": prepared.append(variant) or plain(variant))
+    monkeypatch.setattr(registry, "_FITTED", {})
+    small = {ml_models.RANDOM_FOREST: dict(numTrees=4, maxDepth=3), ml_models.GRADIENT_BOOSTING: dict(maxIter=2)}
+    fit = ml_models.fit_models
+    monkeypatch.setattr(ml_models, "fit_models", lambda train, names, variant="A": fit(train, names, variant, overrides=small))
+    assert registry._all_predictions(Star(spark, STAR_DIR)).select("model").distinct().count() == 4
+    assert prepared == ["A"]

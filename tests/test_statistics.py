@@ -172,3 +172,13 @@ def test_intervals_are_narrow_everywhere(spark):
         rows = spark.createDataFrame([(v,) for v in [-v for v in reversed(values)] + [0.0] + values], "v double")
         places = [r[0] for r in rows.select(interval(F.col("v"))).collect()]
         assert places == sorted(places) and len(set(places)) > 9000
+
+
+def test_column_quantiles_of_counted_rows(spark):
+    from orderlens.functions.ordered import column_quantiles
+
+    counted = spark.createDataFrame([(1.0, 5), (2.0, 1), (9.0, 3), (4.0, 2)], "v double, n long")
+    rows = counted.selectExpr("explode(array_repeat(v, CAST(n AS int))) AS v")
+    wanted = [0.1, 0.5, 0.75, 0.9]
+    expected = column_quantiles(rows, ["v"], wanted).collect()
+    assert column_quantiles(counted, ["v"], wanted, counted["n"]).collect() == expected
