@@ -142,3 +142,24 @@ def test_dates_do_not_depend_on_the_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", kept)
     assert found == {(("2015-03-08 02:30:00", None), ("2015-11-01 01:30:00", None))}
+
+
+@pytest.mark.parametrize("variant", ["A", "B"])
+def test_the_log_removes_repeats_once(spark, monkeypatch, variant):
+    from orderlens.plans import registry
+    from orderlens.sources.star import Star
+
+    removed, plain = [], cleaning.distinct_rows
+    monkeypatch.setattr(cleaning, "distinct_rows", lambda *args: removed.append(args) or plain(*args))
+    raw = Star(spark, "/root/testdata/sf0.001").raw()
+    found = rows(cleaning.quality_log(raw, variant))
+    assert len(removed) == 1
+    slim = cleaning.fill_nulls(cleaning.drop_columns(raw), value=-1 if variant == "A" else 0)
+    assert ("duplicate_rows", "all_columns", float(slim.count() - slim.distinct().count())) in found
+    told = cleaning.unique_rows(raw, variant, told_by=registry._KEPT_IDENTITY)
+    assert told.count() == slim.distinct().count() and told.exceptAll(slim.distinct()).count() == 0
+
+
+def test_removed_rows_of_no_rows(spark):
+    none = spark.createDataFrame([], "a int")
+    assert rows(quality.dq_removed_rows(none, none)) == [("duplicate_rows", "all_columns", 0.0)]
