@@ -237,3 +237,16 @@ def test_models_of_one_query_share_their_preparation(spark, monkeypatch):
     monkeypatch.setattr(ml_models, "fit_models", lambda train, names, variant="A": fit(train, names, variant, overrides=small))
     assert registry._all_predictions(Star(spark, STAR_DIR)).select("model").distinct().count() == 4
     assert prepared == ["A"]
+
+
+def test_held_out_rows_are_scored_once(spark, monkeypatch):
+    """Metrics read stored predictions: no plan of theirs holds a model, and no model scores again."""
+    scored, plain = [], ml_models.predict
+    monkeypatch.setattr(ml_models, "predict", lambda model, rows, name: scored.append(name) or plain(model, rows, name))
+    monkeypatch.setattr(registry, "_SHARED", {})
+    star, name = Star(spark, STAR_DIR), ml_models.DECISION_TREE
+    found = [ml_metrics.ml_metrics(registry._predictions(star, name)) for _ in range(2)]
+    assert scored == [name]
+    assert "UDF" not in found[0]._jdf.queryExecution().optimizedPlan().toString()
+    direct = metrics_of(plain(registry._model(star, name), registry._part(star, "test"), name))
+    assert [{r["metric"]: r["value"] for r in f.collect()} for f in found] == [direct, direct]
