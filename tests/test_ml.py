@@ -1,4 +1,5 @@
 import random
+import threading
 
 import pytest
 
@@ -250,3 +251,16 @@ def test_held_out_rows_are_scored_once(spark, monkeypatch):
     assert "UDF" not in found[0]._jdf.queryExecution().optimizedPlan().toString()
     direct = metrics_of(plain(registry._model(star, name), registry._part(star, "test"), name))
     assert [{r["metric"]: r["value"] for r in f.collect()} for f in found] == [direct, direct]
+
+
+def test_models_of_one_query_are_fitted_at_once(parts, monkeypatch):
+    """Each fit waits for the other to begin, which one after the other never would."""
+    both, plain = threading.Barrier(2), ml_models.classifier
+
+    def met(name, *args, **options):
+        both.wait(60)
+        return plain(name, *args, **options)
+
+    monkeypatch.setattr(ml_models, "classifier", met)
+    options = {ml_models.DECISION_TREE: dict(maxDepth=2), ml_models.GRADIENT_BOOSTING: dict(maxIter=1)}
+    assert list(ml_models.fit_models(parts[0], list(options), overrides=options)) == list(options)
