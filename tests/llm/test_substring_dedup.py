@@ -109,6 +109,25 @@ def test_rows_without_their_own_id(spark, monkeypatch):
     assert min(seen) > 20  # by doc alone there would be three groups
 
 
+def test_rows_with_their_own_id_send_no_hash(spark, monkeypatch):
+    """Hashes go only with ids that several rows have, or with all where too many repeat; results are the same."""
+    rows = [(None if d % 10 == 0 else d // 2 * 2 if d % 10 == 3 else d, t) for d, t in made(8)]
+    shared = {2, 12, 22, 32, 42, 52, 62, 72, 82, 92, 102, 112, dedup.NO_ID}
+    sent, shared_names, told_apart = [], dedup.shared_names, dedup._told_apart
+
+    def watched(names, providers):
+        sent.append({r.doc for r in names.select("doc", dedup.F.explode("hashes").alias("h")).filter("h != 0").select("doc").distinct().collect()})
+        return shared_names(names, providers)
+
+    monkeypatch.setattr(dedup, "shared_names", watched)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert run(frame) == brute(rows)
+    assert sent[0] and sent[0] <= shared and sent[1] <= shared
+    monkeypatch.setattr(dedup, "_told_apart", lambda docs: told_apart(docs, most=3))
+    assert run(frame) == brute(rows)
+    assert sent[2] - shared
+
+
 def test_equal_windows_have_equal_symbols():
     pick = random.Random(4)
     for _ in range(50):
