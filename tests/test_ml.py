@@ -264,3 +264,51 @@ def test_models_of_one_query_are_fitted_at_once(parts, monkeypatch):
     monkeypatch.setattr(ml_models, "classifier", met)
     options = {ml_models.DECISION_TREE: dict(maxDepth=2), ml_models.GRADIENT_BOOSTING: dict(maxIter=1)}
     assert list(ml_models.fit_models(parts[0], list(options), overrides=options)) == list(options)
+
+
+def test_samples_of_a_forest_share_its_partitions():
+    """Samples fitted at once fill the cores together, where each once had all partitions."""
+    assert [ml_models.samples_at_once(4, n) for n in (1, 2, 3, 4, 6, 8, 12)] == [1, 1, 1, 2, 2, 4, 4]
+    assert ml_models.sample_partitions(480_000, 8, 4) == 2
+    assert ml_models.sample_partitions(480_000, 6, 2) == 3
+    assert ml_models.sample_partitions(3_000_000, 12, 4) == 6
+    assert ml_models.sample_partitions(10**9, 250, 4) == 250
+    assert ml_models.sample_partitions(0, 1, 1) == 1
+
+
+def test_a_forest_leaves_cores_to_the_models_beside_it(parts, monkeypatch):
+    taken, fit = [], ml_models._fit_forest
+    monkeypatch.setattr(ml_models, "_fit_forest", lambda rows, *rest: taken.append(rows.rdd.getNumPartitions()) or fit(rows, *rest))
+    options = {ml_models.RANDOM_FOREST: dict(numTrees=4, maxDepth=3), ml_models.DECISION_TREE: dict(maxDepth=2)}
+    ml_models.fit_models(parts[0], list(options), overrides=options)
+    assert taken == [parts[0].sparkSession.sparkContext.defaultParallelism // 2]
+
+
+def test_held_out_rows_are_scored_on_all_cores(spark, monkeypatch):
+    """A small table is read in one task; the rows are scored in one per core, and all of them."""
+    seen, plain = [], ml_models.predict
+    monkeypatch.setattr(
+        ml_models, "predict", lambda model, rows, name: seen.append(rows.rdd.getNumPartitions()) or plain(model, rows, name)
+    )
+    monkeypatch.setattr(registry, "_SHARED", {})
+    star = Star(spark, STAR_DIR)
+    scored = registry._predictions(star, ml_models.DECISION_TREE)
+    assert seen == [spark.sparkContext.defaultParallelism]
+    assert scored.count() == registry._part(star, "test").count()
+
+
+def test_models_of_one_query_score_at_once(spark, monkeypatch):
+    """Each model waits for the three others to begin scoring, which one after the other never would."""
+    all_four, plain = threading.Barrier(4), ml_models.predict
+
+    def met(*args):
+        all_four.wait(60)
+        return plain(*args)
+
+    monkeypatch.setattr(ml_models, "predict", met)
+    monkeypatch.setattr(registry, "_FITTED", {})
+    monkeypatch.setattr(registry, "_SHARED", {})
+    small = {ml_models.RANDOM_FOREST: dict(numTrees=4, maxDepth=3), ml_models.GRADIENT_BOOSTING: dict(maxIter=2)}
+    fit = ml_models.fit_models
+    monkeypatch.setattr(ml_models, "fit_models", lambda train, names, variant="A": fit(train, names, variant, overrides=small))
+    assert registry._all_predictions(Star(spark, STAR_DIR)).select("model").distinct().count() == 4
